@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, packing, url_filter
+from . import exact_dedup, license_scan, packing, simhash, url_filter, warc
 
 HOST_RULES = (
     url_filter.HostRule("allow", "com", "/"),
@@ -34,9 +34,21 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages")).drop("html")
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_url_filter, op4_exact_dedup, op5_packing)}
+    return {f.__name__: f for f in (op3_url_filter, op4_exact_dedup, op5_packing, op7_warc, op8_license_scan, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": url_filter.filter_urls_sql(HOST_RULES), "op4_exact_dedup": exact_dedup.EXACT_GROUPS_SQL}
+    return {"op3_url_filter": url_filter.filter_urls_sql(HOST_RULES), "op4_exact_dedup": exact_dedup.EXACT_GROUPS_SQL, "op7_warc": warc.ROUND_TRIP_SQL, "op8_license_scan": license_scan.scan_sql()}
