@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, license_scan, packing, simhash, url_filter, warc
+from . import decontaminate, exact_dedup, license_scan, packing, simhash, url_filter, warc
 
 HOST_RULES = (
     url_filter.HostRule("allow", "com", "/"),
@@ -34,6 +34,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages")).drop("html")
 
@@ -47,7 +51,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_url_filter, op4_exact_dedup, op5_packing, op7_warc, op8_license_scan, op10_simhash)}
+    return {f.__name__: f for f in (op3_url_filter, op4_exact_dedup, op5_packing, op6_decontaminate, op7_warc, op8_license_scan, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
