@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, license_scan, packing, simhash, url_filter, warc
+from . import decontaminate, exact_dedup, license_scan, packing, simhash, toxicity, url_filter, warc
 
 HOST_RULES = (
     url_filter.HostRule("allow", "com", "/"),
@@ -46,12 +46,16 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_url_filter, op4_exact_dedup, op5_packing, op6_decontaminate, op7_warc, op8_license_scan, op10_simhash)}
+    return {f.__name__: f for f in (op3_url_filter, op4_exact_dedup, op5_packing, op6_decontaminate, op7_warc, op8_license_scan, op9_toxicity, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
