@@ -257,5 +257,28 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_c
     return out if out is not None else docs.sparkSession.createDataFrame([], RESULT)
 
 
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of docs that hold no item, with all their columns; no shuffle and no join, so null and repeated ids are no
+    matter."""
+    place = docs.columns.index(text)
+    for block in _blocks(benchmark.select(F.col("item_id").cast("long"), "text"), BLOCK_ITEMS):
+
+        def run(batches, block=block):
+            index = ItemIndex(block)
+            for batch in batches:
+                hit, held, first, texts = set(), 0, 0, []
+                for n, t in enumerate(batch.column(place)):
+                    texts.append((t.as_py() or "").lower().encode())
+                    held += len(texts[-1])
+                    if held > AT_ONCE:
+                        hit.update(r[0] for r in _search(index, list(range(first, n + 1)), texts, similarity))
+                        held, first, texts = 0, n + 1, []
+                hit.update(r[0] for r in _search(index, list(range(first, batch.num_rows)), texts, similarity))
+                yield batch.take(pa.array([n for n in range(batch.num_rows) if n not in hit], pa.int64()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 names = [c.split()[0] for c in RESULT.split(", ")]
 types = [pa.int64(), pa.int64(), pa.int64(), pa.float64()]

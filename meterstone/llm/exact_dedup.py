@@ -163,16 +163,43 @@ def exact_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
     kept if that id is the winner); a group whose ids are all null has keep_id null and kept true for all. An empty table
     gives no rows; other columns of docs are not read.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(normalised(F.col(text)), 256)).alias("digest"), F.coalesce(F.length(text), F.lit(0)).cast("long").alias("chars"))
+    joined = _grouped(docs, text, id_col)
+    return joined.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def _digest(text: str) -> Column:
+    return F.unhex(F.sha2(normalised(F.col(text)), 256))
+
+
+def _groups(docs: DataFrame, text: str, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, digest, chars) of every row, and (digest, keep_id, members, origin) of every group of several rows."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _digest(text).alias("digest"), F.coalesce(F.length(text), F.lit(0)).cast("long").alias("chars"))
     rows = written(rows, "digests")
     low, high, n = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
     shards = max(1, n // SHARD_DIGESTS)
     middle = (low + high) // 2 if low is not None else -1
     old = F.coalesce(F.col("doc_id") <= middle, F.lit(False))
     groups = look_up(winners(rows.where(~old)), build_index(rows.where(old), shards), shards).where("members > 1")
-    joined = rows.join(groups, "digest", "left")
+    return rows, groups
+
+
+def _grouped(docs: DataFrame, text: str, id_col: str) -> DataFrame:
+    rows, groups = _groups(docs, text, id_col)
     keep = F.when(F.col("members").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
-    return joined.select("doc_id", keep.alias("keep_id"), F.coalesce("members", F.lit(1)).alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    return rows.join(groups, "digest", "left").select("doc_id", keep.alias("keep_id"), F.coalesce("members", F.lit(1)).alias("group_size"), "digest")
+
+
+def without_copies(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """One row of docs for each different text, with all its columns: the winner by exact_groups()'s rule. Of several rows
+    of the winner's id (or without any id) one stays."""
+    rows, groups = _groups(docs, text, id_col)
+    groups = groups.select(F.col("digest").alias("_digest"), F.col("keep_id").alias("_keep"))
+    joined = docs.withColumn("_own", _digest(text)).join(groups, F.col("_own") == F.col("_digest"), "left")
+    kept = joined.where(F.col("_digest").isNull() | F.col(id_col).cast("long").eqNullSafe(F.col("_keep")))
+    again = rows.groupBy("doc_id", "digest").agg(F.count("*").alias("n")).where("n > 1")
+    if again.take(1):
+        kept = kept.dropDuplicates([id_col, "_own"])
+    return kept.select(*docs.columns)
 
 
 #: The same in DuckDB's SQL.

@@ -28,7 +28,7 @@ def canonical(text: Column) -> Column:
 
 def known(spark, texts=TEXTS) -> DataFrame:
     """(digest, license) of the known texts: as many rows as the list has."""
-    rows = spark.createDataFrame(list(texts), "license string, text string")
+    rows = spark.range(1).select(F.inline(F.array(*(F.struct(F.lit(a).alias("license"), F.lit(t).alias("text")) for a, t in texts))))
     return rows.groupBy(F.sha2(canonical(F.col("text")), 256).alias("digest")).agg(F.min("license").alias("license"))
 
 
@@ -37,18 +37,19 @@ def scan(docs: DataFrame, text: str = "text", id_col: str = "doc_id", texts=TEXT
 
     notices lists the licences of the lines that are known notices, in order, without repeats, joined by commas (empty if
     none). Null and empty texts have the digest of the empty text and no licence; repeated rows each keep a row; an empty
-    table gives no rows; other columns of docs are not read. The known digests are broadcast: as many as the fixed lists.
+    table gives no rows; other columns of docs are not read. The known digests are broadcast, or are a literal of the plan:
+    as many as the fixed lists have.
     """
     if any(not set(w for w in NOTICE_WORDS.split("|") if w in t.lower()) for _, t in notices):
         raise ValueError(f"a notice without any of {NOTICE_WORDS}")
     spark = docs.sparkSession
     whole = known(spark, texts)
     lines = F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"), lambda x: F.lower(x).rlike(NOTICE_WORDS))
-    line_licenses = known(spark, notices).agg(F.map_from_entries(F.collect_list(F.struct("digest", "license"))).alias("known_notices"))
+    line_licenses = F.create_map(*(F.lit(x) for r in known(spark, notices).collect() for x in r))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
     rows = rows.select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("digest"), F.transform(lines, lambda x: F.sha2(canonical(x), 256)).alias("lines"))
-    found = rows.join(F.broadcast(whole), "digest", "left").join(F.broadcast(line_licenses), how="left", on=F.lit(True))
-    named = F.filter(F.transform("lines", lambda x: F.col("known_notices")[x]), lambda x: x.isNotNull())
+    found = rows.join(F.broadcast(whole), "digest", "left")
+    named = F.filter(F.transform("lines", lambda x: F.try_element_at(line_licenses, x)), lambda x: x.isNotNull())
     return found.select("doc_id", "digest", "license", F.array_join(F.array_distinct(named), ",").alias("notices"))
 
 

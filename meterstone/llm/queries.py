@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, license_scan, packing, passages, simhash, toxicity, url_filter, warc
+from . import decontaminate, exact_dedup, html_extract, license_scan, packing, passages, simhash, toxicity, url_filter, warc
 
 HOST_RULES = (
     url_filter.HostRule("allow", "com", "/"),
@@ -22,6 +21,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
 def op2_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(_table(spark, sf_dir, "documents"))
 
@@ -59,7 +62,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_repeated_passages, op3_url_filter, op4_exact_dedup, op5_packing, op6_decontaminate, op7_warc, op8_license_scan, op9_toxicity, op10_simhash)}
+    each = (op1_html_extract, op2_repeated_passages, op3_url_filter, op4_exact_dedup, op5_packing, op6_decontaminate, op7_warc, op8_license_scan, op9_toxicity, op10_simhash)
+    return {f.__name__: f for f in each}
 
 
 def oracle_sql() -> dict[str, str]:

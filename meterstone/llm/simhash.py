@@ -165,3 +165,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     named = written(named.join(least, "root").select("fp", "component_id"), "fingerprint-components")
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def without_near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", bits: int = BITS) -> DataFrame:
+    """The rows of docs whose id is the smallest of its component, with all their columns. Rows without an id can't be
+    dropped by it and stay."""
+    known = near_duplicates(docs.where(F.col(id_col).isNotNull()), text, id_col, bits)
+    dropped = known.where("doc_id != component_id").select(F.col("doc_id").alias("_dropped")).distinct()
+    return docs.join(dropped, docs[id_col].cast("long") == F.col("_dropped"), "left_anti")
