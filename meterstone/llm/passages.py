@@ -1,14 +1,17 @@
-"""Substring deduplication: paragraphs and sentences that documents share, exactly or nearly.
+"""Substring deduplication: paragraphs and passages that documents share, exactly or nearly.
 
-The pieces of a text are its lines and, in lines of several, its sentences, each of at least LEAST_WORDS words. Pieces with
-the same words are one class (a 96-bit key). Lines are MinHashed over five-word shingles; the bands are tuned so that lines
+The pieces of a text are its lines of at least LEAST_WORDS words, and chunks of CHUNK words that start at minimizers: words
+with the least hash of some SPAN consecutive ones. A chunk depends on its own surroundings only, so documents that share
+CHUNK + SPAN - 1 = 50 words in a row share a chunk, wherever the passage stands in its line. Pieces with the same words are
+one class (a 96-bit key). Lines are MinHashed over five-word shingles; the bands are tuned so that lines
 with a Jaccard similarity of 0.8 meet with a chance of at least RECALL. Lines that meet in a band are verified by the edit
 distance of their words, and what is linked becomes one class by connected components. Of each class that several
 documents hold, the first occurrence stays.
 
-In a band, members are compared with hubs, not with each other: after each round the hubs go, and so do members that
-matched one, unless the triangle inequality leaves room for a link between them and a member that did not. So no link is
-lost, and a dense group is done after a round or two.
+In a band, members are compared with a hub, not with each other: after each round the hub goes, and so do members that
+matched it, unless the triangle inequality leaves room for a link between them and a member that did not. What is left of
+a band, once it is small, is worked off in one task with pivots by the same inequality. So no link is lost, and a dense
+group is done after a round.
 """
 
 from __future__ import annotations
@@ -23,7 +26,8 @@ from pyspark.sql import functions as F
 from .decontaminate import words_of
 from .shared import components, forget, written
 
-LEAST_WORDS = 8
+LEAST_WORDS = 20
+CHUNK, SPAN = 20, 31
 SHINGLE = 5
 SIMILARITY = 0.8
 RECALL = 0.995
@@ -32,6 +36,9 @@ AT_ONCE = 4 << 20
 #: Band rows a task remembers to leave out repeats, before it starts afresh.
 MOST_SEEN = 1 << 20
 
+#: Members of a band that one task works off by itself; larger ones lose their hub, and what matched it, round by round.
+MOST_MEMBERS = 4096
+
 _BASES = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
 
@@ -54,28 +61,39 @@ def _positional(hashes: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * power(base)[:-1])]), power(back)
 
 
+def minimizers(hashes: np.ndarray, document: np.ndarray) -> np.ndarray:
+    """The places of the words with the least hash (the first of equal ones) among some SPAN words of one document."""
+    n = len(hashes) - SPAN + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    low = np.uint64((1 << 32) - 1)
+    value = (hashes & ~low) | np.arange(len(hashes), dtype=np.uint64)
+    least, width = value, 1
+    while 2 * width <= SPAN:
+        least = np.minimum(least[:-width], least[width:])
+        width *= 2
+    least = np.minimum(least[:n], least[SPAN - width : SPAN - width + n])
+    return np.unique(least[document[:n] == document[SPAN - 1 :]] & low).astype(np.int64)
+
+
 class Pieces:
-    """The lines and sentences of several texts (UTF-8), as arrays; spans are in bytes of the joined data."""
+    """The lines and chunks of several texts (UTF-8), as arrays; spans are in bytes of the joined data."""
 
     def __init__(self, texts: list[bytes]):
         self.data = b"\n".join(texts)
         raw = np.frombuffer(self.data, np.uint8)
         self.offsets = np.cumsum([0, *(len(t) + 1 for t in texts)])
         begin, end, self.words = words_of(self.data.lower())
-        newline = np.flatnonzero(raw == 10)
-        stop = np.flatnonzero(np.isin(raw[:-1], list(b".!?")) & np.isin(raw[1:], list(b" \t\r"))) + 1 if len(raw) else newline
-        lines = np.unique(np.concatenate([[0], newline + 1]))
-        parts = np.unique(np.concatenate([lines, stop]))
-        spans = []
-        for kind, cuts in enumerate((lines, parts)):
-            ends = np.append(cuts[1:], len(raw) + 1)
-            first, last = np.searchsorted(begin, cuts), np.searchsorted(begin, ends)
-            keep = last - first >= LEAST_WORDS
-            if kind:  # a line of one sentence is there already
-                whole = np.isin(cuts, lines) & (np.isin(ends, lines) | (ends > len(raw)))
-                keep &= ~whole
-            spans.append(np.stack([begin[first[keep]], end[last[keep] - 1], first[keep], last[keep], np.full(int(keep.sum()), kind)]))
-        self.begin, self.end, self.first, self.last, self.kind = np.concatenate(spans, 1)
+        lines = np.concatenate([[0], np.flatnonzero(raw == 10) + 1])
+        first, last = np.searchsorted(begin, lines), np.searchsorted(begin, np.append(lines[1:], len(raw) + 1))
+        keep = last - first >= LEAST_WORDS
+        document = np.searchsorted(self.offsets, begin, "right") - 1
+        chunk = minimizers(self.words, document)
+        chunk = chunk[chunk + CHUNK <= len(begin)]
+        chunk = chunk[document[chunk] == document[chunk + CHUNK - 1]]
+        self.first, self.last = np.concatenate([first[keep], chunk]), np.concatenate([last[keep], chunk + CHUNK])
+        self.kind = np.repeat([0, 1], [int(keep.sum()), len(chunk)])
+        self.begin, self.end = begin[self.first], end[self.last - 1]
         self.doc = np.searchsorted(self.offsets, self.begin, "right") - 1
         keys = []
         for base in _BASES:
@@ -211,38 +229,130 @@ def distances(pairs: DataFrame, words: DataFrame) -> DataFrame:
     return both.select("key", "hub", "words", "hub_words").mapInArrow(run, "key long, hub long, distance int")
 
 
+def shared_bands(rows: DataFrame, bands: int, each: int) -> DataFrame:
+    """(band, key, size), without repeats, of the bands that several keys share: one shuffle; a task holds one row at a time."""
+
+    def run(batches):
+        held = None  # the first row of a band, until a second key comes
+        last = None
+        for b in batches:
+            band, key, size = (c.to_numpy() for c in b.columns)
+            new = np.ones(len(band), bool)
+            new[1:] = (band[1:] != band[:-1]) | (key[1:] != key[:-1])
+            if last is not None and len(band):
+                new[0] = (band[0], key[0]) != last
+            if not len(band):
+                continue
+            last = band[-1], key[-1]
+            band, key, size = band[new], key[new], size[new]
+            if held is not None:
+                band, key, size = (np.concatenate([[h], x]).astype(x.dtype) for h, x in zip(held[:3], (band, key, size)))
+            if not len(band):
+                continue
+            alone = np.ones(len(band), bool)
+            same = band[1:] == band[:-1]
+            alone[1:][same] = False
+            alone[:-1][same] = False
+            if held is not None and held[3] == band[0]:  # its band has been put out before
+                alone[0] = True  # this row was
+                if len(band) > 1 and same[0]:
+                    alone[1] = False
+            tail = band[-1]
+            put = not alone[-1] or (held is not None and held[3] == tail)
+            out = ~alone
+            yield pa.RecordBatch.from_arrays([pa.array(band[out]), pa.array(key[out]), pa.array(size[out])], ["band", "key", "size"])
+            held = (band[-1], key[-1], size[-1], tail if put else None)
+
+    each_row = band_rows(rows, bands, each)
+    return each_row.repartition("band").sortWithinPartitions("band", "key").mapInArrow(run, "band long, key long, size int")
+
+
+def _span(size, similarity: float):
+    """The largest distance of a link between sequences of which the longer has so many words."""
+    return (1 - similarity) * size + 1e-9
+
+
+def _spans(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    return _span(np.maximum(a, b), similarity)
+
+
+def group_edges(keys: np.ndarray, words: list, similarity: float) -> list[tuple[int, int]]:
+    """Edges that connect all pairs of a group within reach of each other.
+
+    Members take turns as pivots. A pivot is compared with those that are not yet known to be connected with it, unless
+    their distances to an earlier pivot differ by more than a link spans.
+    """
+    n = len(keys)
+    size, root, edges = np.array([len(w) for w in words]), np.arange(n), []
+    pivots: list[np.ndarray] = []  # distances to earlier pivots; nan where not measured
+    for u in range(n):
+        others = np.flatnonzero(root != root[u])
+        others = others[(others > u) & (np.abs(size[others] - size[u]) <= _spans(size[others], size[u], similarity))] if len(others) else others
+        for p in pivots:
+            if len(others):
+                far = np.abs(p[others] - p[u]) > _spans(size[others], size[u], similarity)
+                others = others[~far]  # a nan is never far
+        if not len(others):
+            continue
+        d = np.full(n, np.nan)
+        d[u] = 0
+        for v in others.tolist():
+            if root[v] == root[u]:
+                continue
+            d[v] = edit_distance(words[u], words[v])
+            if d[v] <= _span(max(size[u], size[v]), similarity):
+                edges.append((int(keys[u]), int(keys[v])))
+                root[root == root[v]] = root[u]
+        if len(pivots) < 8:
+            pivots.append(d)
+    return edges
+
+
+def small_group_edges(members: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
+    """Edges of bands of at most MOST_MEMBERS keys, each worked off in one task."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        order = np.argsort(rows["key"].to_numpy())
+        found = [np.frombuffer(w, np.uint32).tolist() for w in rows["words"].take(pa.array(order)).to_pylist()]
+        edges = group_edges(rows["key"].to_numpy()[order], found, similarity)
+        a, b = zip(*edges) if edges else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    joined = members.select("band", "key").join(words, "key")
+    found = joined.groupBy("band").applyInArrow(run, "a long, b long")
+    return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
 def near_edges(rows: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """Edges (a, b) that connect the keys of all verified pairs of lines that meet in a band."""
     spark = rows.sparkSession
     bands, each = tuned(similarity, recall)
-    met = band_rows(rows, bands, each).groupBy("band", "key").agg(F.max("size").alias("size"))
-    several = met.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    members = written(met.join(several, "band"), "band-members")
-    wanted = members.select("key").distinct()
-    words = written(line_words(rows).join(wanted, "key").groupBy("key").agg(F.max("words").alias("words")), "line-words")
-    edges, hubs = spark.createDataFrame([], "a long, b long"), 1
+    members = written(shared_bands(rows, bands, each), "band-members")
+    words = written(line_words(rows).join(members.select("key").distinct(), "key").groupBy("key").agg(F.max("words").alias("words")), "line-words")
+    edges, first = spark.createDataFrame([], "a long, b long"), True
     while members.take(1):
-        chosen = F.array(*(F.min_by("key", F.xxhash64("key", F.lit(i))) for i in range(hubs)))
-        by_band = members.groupBy("band").agg(F.array_distinct(chosen).alias("hubs"))
-        asked = members.join(by_band, "band").select("band", "key", "size", F.explode("hubs").alias("hub")).where("key != hub")
-        sizes = members.groupBy(F.col("key").alias("hub")).agg(F.max("size").alias("hub_size"))
-        measured = distances(asked.select("key", "hub").distinct(), words).join(sizes, "hub")
-        measured = written(measured, "distances")
-        longer = F.greatest("size", "hub_size")
-        seen = asked.join(measured, ["key", "hub"]).withColumn("match", F.col("distance") <= (1 - similarity) * longer)
+        counts = members.groupBy("band").agg(F.count("*").alias("n"), F.min_by("key", F.xxhash64("key")).alias("hub"))
+        if not first:  # after a round with hubs what is left is mostly small
+            small = counts.where(F.col("n") <= MOST_MEMBERS).select("band")
+            edges = edges.unionByName(small_group_edges(members.join(small, "band"), words, similarity))
+            counts = counts.where(F.col("n") > MOST_MEMBERS)
+        first = False
+        asked = members.join(counts.select("band", "hub"), "band").where("key != hub")
+        sizes = members.select(F.col("key").alias("hub"), F.col("size").alias("hub_size")).distinct()
+        pairs = asked.select("key", "hub").distinct()
+        seen = asked.join(distances(pairs, words).join(sizes, "hub"), ["key", "hub"])
+        seen = written(seen.withColumn("match", F.col("distance") <= _span(F.greatest("size", "hub_size"), similarity)), "distances")
         edges = edges.unionByName(seen.where("match").select(F.greatest("key", "hub").alias("a"), F.least("key", "hub").alias("b")).distinct())
-        # By band and hub: how near members that do not match come, less what a link of theirs may span.
-        reach = seen.where("NOT match").groupBy("band", "hub").agg(F.min(F.col("distance") - (1 - similarity) * F.col("size")).alias("nearest"))
-        placed = seen.join(reach, ["band", "hub"], "left")
-        done = F.col("match") & (F.col("nearest").isNull() | (F.col("nearest") > F.col("distance") + (1 - similarity) * F.col("size")))
-        left = placed.groupBy("band", "key").agg(F.max("size").alias("size"), F.max(done).alias("done")).where("NOT done")
-        left = left.join(by_band, "band").where(~F.array_contains("hubs", F.col("key"))).select("band", "key", "size")
+        # How near the members that do not match come to the hub, less what a link of theirs may span.
+        reach = seen.where("NOT match").groupBy("band").agg(F.min(F.col("distance") - _span(F.col("size"), similarity)).alias("nearest"))
+        left = seen.join(reach, "band").where(~F.col("match") | (F.col("nearest") <= F.col("distance") + _span(F.col("size"), similarity)))
+        left = left.select("band", "key", "size")
         again = left.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
         rest = written(left.join(again, "band"), "band-members")
         edges = written(edges, "near-edges")
-        forget(measured)
+        forget(seen)
         forget(members)
-        members, hubs = rest, min(16, 2 * hubs)
+        members = rest
     return edges
 
 
