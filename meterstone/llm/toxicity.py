@@ -26,8 +26,8 @@ from .shared import forget, written
 SAMPLE_ROWS = 20_000
 #: Features of the model, at most; each must occur in so many texts and have so large a G statistic (about p = 1e-6).
 MOST_FEATURES, LEAST_TEXTS, LEAST_G = 4096, 8, 24.0
-#: Lengths of word beginnings that are features besides whole words.
-BEGINNINGS = (4, 5, 6)
+#: Lengths of word beginnings that are features besides whole words, and how many different words of a text must share one.
+BEGINNINGS, LEVELS = (4, 5, 6, 7), (1, 2, 3, 5)
 #: Weights of the penalties: counterfactual score changes (per sentence), and squared weights (over all rows).
 CF_WEIGHT, L2 = 5.0, 0.5
 ROUNDS = 400
@@ -51,9 +51,12 @@ def words(text: str) -> list[str]:
     return text.lower().encode("utf-8", "replace").translate(_SPACE).decode("utf-8", "replace").split()
 
 
-def word_features(word: str) -> list[str]:
-    """The word, marked as whole, and its beginnings."""
-    return [f"={word}", *(word[:n] for n in BEGINNINGS if len(word) >= n)]
+def features(found: set[str]) -> set[str]:
+    """Of a text's different words: each one (=word), and beginnings by the levels they reach (2begin: two words or more)."""
+    out = {f"={w}" for w in found}
+    for begin, n in Counter(w[:k] for w in found for k in BEGINNINGS if len(w) >= k).items():
+        out.update(f"{level}{begin}" for level in LEVELS if level <= n)
+    return out
 
 
 def swapped(sentence: list[str], turn: int) -> list[str] | None:
@@ -77,19 +80,29 @@ class Model:
 
     def scorer(self):
         """text -> score; remembers words, so each worker makes its own."""
-        memory: dict[str, tuple[int, ...]] = {}
+        memory: dict[str, tuple[int | None, tuple[str, ...]]] = {}
+        watched = {f[1:] for f in self.index if f[0] != "="}
+        index, weights = self.index, self.weights.tolist()
 
         def score(text: str | None) -> float:
             if len(memory) > MOST_WORDS:
                 memory.clear()
-            found: set[int] = set()
-            for w in set(words(text or "")):
-                ids = memory.get(w)
-                if ids is None:
-                    ids = memory[w] = tuple(self.index[f] for f in word_features(w) if f in self.index)
-                if ids:
-                    found.update(ids)
-            z = self.bias + float(self.weights[sorted(found)].sum())
+            z, counts = self.bias, {}
+            for w in sorted(set(words(text or ""))):  # in order, so that sums are the same everywhere
+                known = memory.get(w)
+                if known is None:
+                    known = memory[w] = index.get(f"={w}"), tuple(w[:k] for k in BEGINNINGS if len(w) >= k and w[:k] in watched)
+                if known[0] is not None:
+                    z += weights[known[0]]
+                for begin in known[1]:
+                    counts[begin] = counts.get(begin, 0) + 1
+            for begin, n in counts.items():
+                for level in LEVELS:
+                    if level > n:
+                        break
+                    at = index.get(f"{level}{begin}")
+                    if at is not None:
+                        z += weights[at]
             return 1 / (1 + math.exp(-z)) if z > -700 else 0.0
 
         return score
@@ -165,7 +178,7 @@ def choose_features(sample: DataFrame) -> list[str]:
             for at in range(0, b.num_rows, 500):
                 pos, neg = Counter(), Counter()
                 for text, y in _texts(b.slice(at, 500)):
-                    (pos if y else neg).update({f for w in set(words(text)) for f in word_features(w)})
+                    (pos if y else neg).update(features(set(words(text))))
                 names = list(pos | neg)
                 yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([pos[n] for n in names], pa.int64()), pa.array([neg[n] for n in names], pa.int64())], ["feature", "pos", "neg"])
 
@@ -201,7 +214,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, samp
         for b in batches:
             out = []
             for text, y in _texts(b):
-                ids = lambda ws: sorted({index[f] for w in set(ws) for f in word_features(w) if f in index})
+                ids = lambda ws: sorted(index[f] for f in features(set(ws)) if f in index)
                 out.append((y, ids(words(text)), None))
                 for sentence in text.replace("!", ".").replace("?", ".").replace("\n", ".").split("."):
                     lower = sentence.lower()
