@@ -46,3 +46,10 @@ def least(values: Column, sentinel: bool = False) -> Column:
 
 def greatest(values: Column, sentinel: bool = False) -> Column:
     return F.coalesce(F.get(values, F.size(values) - 1), F.lit(float(EMPTY_MAX)) if sentinel else F.lit(None).cast("double"))
+
+
+def percent(p: float) -> float:
+    """99 percent as the quantile 0.99."""
+    if not 0 <= p <= 100:
+        raise ValueError("percentiles lie between 0 and 100")
+    return p / 100

@@ -62,3 +62,8 @@ def gaps(events: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str],
     """The time from each event of a key to the next."""
     w = Window.partitionBy(*sortable(events, keys)).orderBy(*order)
     return events.select(*keys, *keep, (F.lead(ts).over(w) - F.col(ts)).alias("duration")).where("duration IS NOT NULL")
+
+
+def split_timers(timers: DataFrame, keys: Sequence[str] = KEYS) -> tuple[DataFrame, DataFrame]:
+    """A timer table as a histogram table and a meter table, for handlers that know no timers."""
+    return timers.select(*keys, "values", "count"), timers.select(*keys, "mean", "rates")

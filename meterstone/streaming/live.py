@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
 from ..operators.ewma import alpha
 
@@ -90,6 +90,76 @@ def meters(events: DataFrame, key: str, windows: Sequence[int], interval: int) -
     return rows.groupBy("key").transformWithStateInPandas(MeterProcessor(windows, interval), OUTPUT, "Update", "None")
 
 
+def gauges(events: DataFrame, keys: Sequence[str], order: Sequence[str] = ("ts", "seq"), value: str = "value") -> DataFrame:
+    """The value set last; write in update or complete mode."""
+    return events.groupBy(*keys).agg(F.max_by(value, F.struct(*order)).alias("value"))
+
+
+HISTOGRAM_STATE = StructType([StructField("count", LongType()), StructField("ts", ArrayType(LongType())), StructField("seq", ArrayType(LongType())), StructField("value", ArrayType(DoubleType()))])
+HISTOGRAM_OUTPUT = StructType([StructField("key", StringType()), StructField("count", LongType()), StructField("values", ArrayType(DoubleType()))])
+
+
+class HistogramProcessor(StatefulProcessor):
+    """Per key: how many values there ever were, and the newest `size` of them."""
+
+    def __init__(self, size: int):
+        self.size = size
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("histogram", HISTOGRAM_STATE)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        count, kept = 0, pd.DataFrame({"ts": [], "seq": [], "value": []})
+        if self.state.exists():
+            count, *columns = self.state.get()
+            kept = pd.DataFrame(dict(zip(("ts", "seq", "value"), map(list, columns))))
+        for batch in rows:
+            count += len(batch)
+            kept = pd.concat([kept, batch[["ts", "seq", "value"]]]).sort_values(["ts", "seq"]).tail(self.size)
+        self.state.update((int(count), [int(x) for x in kept["ts"]], [int(x) for x in kept["seq"]], [float(x) for x in kept["value"]]))
+        yield pd.DataFrame({"key": [key[0]], "count": [count], "values": [sorted(float(x) for x in kept["value"])]})
+
+    def close(self) -> None:
+        pass
+
+
+def histograms(events: DataFrame, key: str, size: int) -> DataFrame:
+    """(key, count, values) whenever a key gets rows; its state is bounded by size."""
+    rows = events.select(F.col(key).cast("string").alias("key"), "ts", "seq", "value")
+    return rows.groupBy("key").transformWithStateInPandas(HistogramProcessor(size), HISTOGRAM_OUTPUT, "Update", "None")
+
+
+SPAN_STATE = StructType([StructField("start", LongType())])
+SPAN_OUTPUT = StructType([StructField("key", StringType()), StructField("start", LongType()), StructField("duration", LongType())])
+
+
+class SpanProcessor(StatefulProcessor):
+    """Per key: a `start` opens a span (again, if one is open), an `end` right after it closes it, anything else drops it."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("span", SPAN_STATE)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        begun = self.state.get()[0] if self.state.exists() else None
+        out = []
+        batch = pd.concat(list(rows)).sort_values(["ts", "seq"])
+        for ts, what in zip(batch["ts"].tolist(), batch["what"].tolist()):
+            if what == "end" and begun is not None:
+                out.append((key[0], begun, ts - begun))
+            begun = ts if what == "start" else None
+        self.state.update((begun,))
+        yield pd.DataFrame(out, columns=["key", "start", "duration"])
+
+    def close(self) -> None:
+        pass
+
+
+def spans(events: DataFrame, key: str) -> DataFrame:
+    """(key, start, duration) of each closed span; events has key, ts, seq and what (start, end or another)."""
+    rows = events.select(F.col(key).cast("string").alias("key"), "ts", "seq", "what")
+    return rows.groupBy("key").transformWithStateInPandas(SpanProcessor(), SPAN_OUTPUT, "Append", "None")
+
+
 def publish_each(df: DataFrame, publish: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "update") -> StreamingQuery:
     """Hands the changed rows of each batch to publish(rows, batch number)."""
     return df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(publish).trigger(availableNow=True).start()
