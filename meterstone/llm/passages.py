@@ -37,7 +37,9 @@ AT_ONCE = 4 << 20
 MOST_SEEN = 1 << 20
 
 #: Members of a band that one task works off by itself; larger ones lose their hub, and what matched it, round by round.
-MOST_MEMBERS = 4096
+MOST_MEMBERS = 2048
+#: Hubs a round after the first one takes in such a band.
+HUBS = 16
 
 _BASES = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
@@ -331,22 +333,24 @@ def near_edges(rows: DataFrame, similarity: float = SIMILARITY, recall: float =
     words = written(line_words(rows).join(members.select("key").distinct(), "key").groupBy("key").agg(F.max("words").alias("words")), "line-words")
     edges, first = spark.createDataFrame([], "a long, b long"), True
     while members.take(1):
-        counts = members.groupBy("band").agg(F.count("*").alias("n"), F.min_by("key", F.xxhash64("key")).alias("hub"))
+        counts = members.groupBy("band").agg(F.count("*").alias("n"), *(F.min_by("key", F.xxhash64("key", F.lit(i))).alias(f"hub{i}") for i in range(1 if first else HUBS)))
         if not first:  # after a round with hubs what is left is mostly small
             small = counts.where(F.col("n") <= MOST_MEMBERS).select("band")
             edges = edges.unionByName(small_group_edges(members.join(small, "band"), words, similarity))
             counts = counts.where(F.col("n") > MOST_MEMBERS)
         first = False
-        asked = members.join(counts.select("band", "hub"), "band").where("key != hub")
+        hubs = F.array_distinct(F.array(*(c for c in counts.columns if c.startswith("hub"))))
+        asked = members.join(counts.select("band", hubs.alias("hubs")), "band").select("band", "key", "size", F.explode("hubs").alias("hub"), F.array_contains("hubs", F.col("key")).alias("is_hub")).where("key != hub")
         sizes = members.select(F.col("key").alias("hub"), F.col("size").alias("hub_size")).distinct()
         pairs = asked.select("key", "hub").distinct()
         seen = asked.join(distances(pairs, words).join(sizes, "hub"), ["key", "hub"])
         seen = written(seen.withColumn("match", F.col("distance") <= _span(F.greatest("size", "hub_size"), similarity)), "distances")
         edges = edges.unionByName(seen.where("match").select(F.greatest("key", "hub").alias("a"), F.least("key", "hub").alias("b")).distinct())
-        # How near the members that do not match come to the hub, less what a link of theirs may span.
-        reach = seen.where("NOT match").groupBy("band").agg(F.min(F.col("distance") - _span(F.col("size"), similarity)).alias("nearest"))
-        left = seen.join(reach, "band").where(~F.col("match") | (F.col("nearest") <= F.col("distance") + _span(F.col("size"), similarity)))
-        left = left.select("band", "key", "size")
+        # How near the members that do not match come to a hub, less what a link of theirs may span: those that match it and
+        # lie further in than that have no link to them.
+        reach = seen.where("NOT match").groupBy("band", "hub").agg(F.min(F.col("distance") - _span(F.col("size"), similarity)).alias("nearest"))
+        done = F.col("is_hub") | (F.col("match") & (F.col("nearest").isNull() | (F.col("nearest") > F.col("distance") + _span(F.col("size"), similarity))))
+        left = seen.join(reach, ["band", "hub"], "left").groupBy("band", "key").agg(F.max("size").alias("size"), F.max(done).alias("done")).where("NOT done").select("band", "key", "size")
         again = left.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
         rest = written(left.join(again, "band"), "band-members")
         edges = written(edges, "near-edges")

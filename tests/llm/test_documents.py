@@ -341,6 +341,23 @@ def test_near_edges_lose_no_link_in_a_dense_group(spark):
     assert len({x["group_id"] for x in got}) == 1 and len(got) == 60
 
 
+def test_large_bands_go_round_by_round(spark, monkeypatch):
+    """With hardly a band worked off in one task, the classes are the same."""
+    r = random.Random(10)
+    rows = []
+    for f in range(3):
+        base = [f"w{r.randrange(9)}" for _ in range(30)]
+        for n in range(14):
+            w = list(base)
+            for k in r.sample(range(30), r.randint(0, 5)):
+                w[k] = f"x{r.randrange(30)}"
+            rows.append((100 * f + n, " ".join(w)))
+    got = sorted(map(tuple, passages.repeated_passages(docs(spark, rows)).collect()))
+    monkeypatch.setattr(passages, "MOST_MEMBERS", 2)
+    monkeypatch.setattr(passages, "HUBS", 2)
+    assert sorted(map(tuple, passages.repeated_passages(docs(spark, rows)).collect())) == got and got
+
+
 def test_bands_are_tuned():
     bands, rows = passages.tuned()
     assert 1 - (1 - 0.8**rows) ** bands >= passages.RECALL
