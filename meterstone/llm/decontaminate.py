@@ -106,8 +106,6 @@ def _embedded(hashes: np.ndarray, size: int) -> np.ndarray:
 class ItemIndex:
     """The keys of all windows of a block of items; looks up documents."""
 
-    BITS = 22
-
     def __init__(self, items: list[tuple[int, str]]):
         self.items, by_size = [], {}
         for item_id, text in items:
@@ -125,12 +123,13 @@ class ItemIndex:
                 keys = np.stack(list(tables.keys(_embedded(hashes, size), starts)))
                 one = keys, np.full(len(starts), n), starts
                 made = one if made is None else [np.concatenate([a, b], -1) for a, b in zip(made, one)]
-            index = []
+            bits = min(22, made[0].shape[1].bit_length() + 6)  # one in 64 places or fewer is taken
+            index, drop = [], _u64(64 - bits)
             for keys in made[0]:
                 order = np.argsort(keys, kind="stable")
-                seen = np.zeros(1 << self.BITS, bool)
-                seen[keys >> _u64(64 - self.BITS)] = True
-                index.append((seen, keys[order], made[1][order], made[2][order]))
+                seen = np.zeros(1 << bits, bool)
+                seen[keys >> drop] = True
+                index.append((seen, drop, keys[order], made[1][order], made[2][order]))
             self.sizes.append((tables, index))
 
     def candidates(self, hashes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -138,8 +137,8 @@ class ItemIndex:
         found = []
         for tables, index in self.sizes:
             starts = np.arange(0, len(hashes), max(1, tables.size // 2))
-            for keys, (seen, known, numbers, offsets) in zip(tables.keys(_embedded(hashes, tables.size), starts), index):
-                at = np.flatnonzero(seen[keys >> _u64(64 - self.BITS)])
+            for keys, (seen, drop, known, numbers, offsets) in zip(tables.keys(_embedded(hashes, tables.size), starts), index):
+                at = np.flatnonzero(seen[keys >> drop])
                 low, high = np.searchsorted(known, keys[at], "left"), np.searchsorted(known, keys[at], "right")
                 count = high - low
                 at, low, count = at[count > 0], low[count > 0], count[count > 0]

@@ -32,7 +32,7 @@ BEGINNINGS, LEVELS = (4, 5, 6, 7), (1, 2, 3, 5)
 CF_WEIGHT, L2 = 5.0, 0.5
 ROUNDS = 400
 #: Words a worker remembers the features of before it starts afresh.
-MOST_WORDS = 500_000
+MOST_WORDS = 200_000
 
 #: Identity terms by kind; a term is only swapped for another of its kind.
 IDENTITY = {
