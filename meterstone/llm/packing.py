@@ -25,7 +25,7 @@ END_ID = 2
 #: Open windows that a task holds at most, with their ids (16 KB each); beyond it the emptiest are cut up.
 MOST_OPEN = 1024
 #: Distinct words whose ids a worker remembers before it starts afresh.
-MOST_WORDS = 600_000
+MOST_WORDS = 300_000
 
 
 class WordTokenizer:
