@@ -2,8 +2,9 @@
 
 The pieces of a text are its lines of at least LEAST_WORDS words, and chunks of CHUNK words that start at minimizers: words
 with the least hash of some SPAN consecutive ones. A chunk depends on its own surroundings only, so documents that share
-CHUNK + SPAN - 1 = 50 words in a row share a chunk, wherever the passage stands in its line. Pieces with the same words are
-one class (a 96-bit key). Lines are MinHashed over five-word shingles; the bands are tuned so that lines
+CHUNK + SPAN - 1 = 50 words in a row share a chunk, wherever the passage stands in its line. Chunks are seeds: each is
+extended left and right as far as its words equal those around the first occurrence, and the whole run is the passage.
+Pieces with the same words are one class (a 96-bit key). Lines are MinHashed over five-word shingles; the bands are tuned so that lines
 with a Jaccard similarity of 0.8 meet with a chance of at least RECALL. Lines that meet in a band are verified by the edit
 distance of their words, and what is linked becomes one class by connected components. Of each class that several
 documents hold, the first occurrence stays.
@@ -41,6 +42,8 @@ MOST_MEMBERS = 2048
 #: Hubs a round after the first one takes in such a band.
 HUBS = 16
 
+PIECES = "key long, check int, doc_id long, start long, n_chars long"
+NAMES = [c.split()[0] for c in PIECES.split(", ")]
 _BASES = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
 
@@ -78,6 +81,16 @@ def minimizers(hashes: np.ndarray, document: np.ndarray) -> np.ndarray:
     return np.unique(least[document[:n] == document[SPAN - 1 :]] & low).astype(np.int64)
 
 
+def keys_of(words: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, check) of the words from first to last, the same wherever they stand."""
+    keys = []
+    for base in _BASES:
+        total, back = _positional(words, base)
+        x = (total[last] - total[first]) * back[first]
+        keys.append(x ^ (x >> np.uint64(32)))
+    return keys[0].view(np.int64), (keys[1] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
 class Pieces:
     """The lines and chunks of several texts (UTF-8), as arrays; spans are in bytes of the joined data."""
 
@@ -97,13 +110,7 @@ class Pieces:
         self.kind = np.repeat([0, 1], [int(keep.sum()), len(chunk)])
         self.begin, self.end = begin[self.first], end[self.last - 1]
         self.doc = np.searchsorted(self.offsets, self.begin, "right") - 1
-        keys = []
-        for base in _BASES:
-            total, back = _positional(self.words, base)
-            x = (total[self.last] - total[self.first]) * back[self.first]
-            keys.append(x ^ (x >> np.uint64(32)))
-        self.key = keys[0].view(np.int64)
-        self.check = (keys[1] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        self.key, self.check = keys_of(self.words, self.first, self.last)
         ahead = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
         of = self.offsets[self.doc]
         self.start, self.chars = ahead[self.begin] - ahead[of], ahead[self.end] - ahead[self.begin]
@@ -149,14 +156,14 @@ def _chunks(batches, doc=0, text=1) -> Iterator[tuple[list, Pieces]]:
 
 
 def pieces(rows: DataFrame) -> DataFrame:
-    """(key, check, doc_id, start, n_chars) of all pieces of (doc_id, text)."""
+    """(key, check, doc_id, start, n_chars, kind) of all pieces of (doc_id, text); kind is 1 for chunks."""
 
     def run(batches):
         for ids, p in _chunks(batches):
             docs = pa.array(ids, pa.int64()).take(pa.array(p.doc))
-            yield pa.RecordBatch.from_arrays([pa.array(p.key), pa.array(p.check), docs, pa.array(p.start), pa.array(p.chars)], ["key", "check", "doc_id", "start", "n_chars"])
+            yield pa.RecordBatch.from_arrays([pa.array(p.key), pa.array(p.check), docs, pa.array(p.start), pa.array(p.chars), pa.array(p.kind.astype(np.int32))], [*NAMES, "kind"])
 
-    return rows.mapInArrow(run, "key long, check int, doc_id long, start long, n_chars long")
+    return rows.mapInArrow(run, f"{PIECES}, kind int")
 
 
 def band_rows(rows: DataFrame, bands: int, each: int) -> DataFrame:
@@ -360,10 +367,93 @@ def near_edges(rows: DataFrame, similarity: float = SIMILARITY, recall: float =
     return edges
 
 
+def _alike(a: np.ndarray, b: np.ndarray) -> int:
+    """How many leading items of both are equal."""
+    n, at, width = min(len(a), len(b)), 0, 64
+    while at < n:
+        differ = np.flatnonzero(a[at : min(n, at + width)] != b[at : min(n, at + width)])
+        if len(differ):
+            return at + int(differ[0])
+        at, width = at + width, 2 * width
+    return n
+
+
+def runs(a: np.ndarray, b: np.ndarray, seeds: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """(place in a, place in b, length) of the maximal runs of equal words through the seeds, each CHUNK words at (place in a,
+    place in b); seeds whose words differ are passed over, and runs inside another one's place in a are left out."""
+    ends: dict[int, int] = {}  # of the last run on each diagonal
+    found = []
+    for i, j in sorted(seeds):
+        if i + CHUNK <= ends.get(i - j, -1) or not np.array_equal(a[i : i + CHUNK], b[j : j + CHUNK]) or min(len(a) - i, len(b) - j) < CHUNK:
+            continue
+        left, right = _alike(a[:i][::-1], b[:j][::-1]), _alike(a[i:], b[j:])
+        ends[i - j] = i + right
+        found.append((i - left, j - left, left + right))
+    out, reached = [], -1
+    for i, j, n in sorted(found, key=lambda r: (r[0], -r[2], r[1])):
+        if i + n > reached:
+            out.append((i, j, n))
+            reached = i + n
+    return out
+
+
+class _Words:
+    """A text's word hashes, and the first and last code point of each."""
+
+    def __init__(self, text: bytes):
+        begin, end, self.hashes = words_of(text.lower())
+        ahead = np.concatenate([[0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)])
+        self.start, self.stop = ahead[begin], ahead[end]
+
+    def at(self, starts: list[int]) -> list[int]:
+        """The words that start there; -1 if none does."""
+        found = np.searchsorted(self.start, starts)
+        return [int(k) if k < len(self.start) and self.start[k] == s else -1 for k, s in zip(found, starts)]
+
+
+def spans(rows: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Pieces: the runs of equal words around seeds (doc_id, start, keep_doc_id, keep_start), in both of their documents."""
+    pairs = seeds.groupBy("doc_id", "keep_doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "keep_start"))).alias("seeds"))
+    pairs = written(pairs, "passage-pairs")
+    ids = pairs.select("doc_id").unionByName(pairs.select(F.col("keep_doc_id").alias("doc_id"))).distinct()
+    texts = written(rows.join(ids, "doc_id", "left_semi"), "passage-texts")  # several of one id, if they are
+    keeps = texts.select(F.col("doc_id").alias("keep_doc_id"), F.col("text").alias("keep_text"))
+
+    def run(batches):
+        memory: dict = {}  # the last text of either side
+
+        def words(side: int, text) -> _Words:
+            text = text.as_buffer().to_pybytes() if text.is_valid and len(text.as_buffer()) else b""
+            if memory.get(side, (None,))[0] != text:
+                memory[side] = text, _Words(text)
+            return memory[side][1]
+
+        for batch in batches:
+            for n in range(batch.num_rows):
+                doc, keep = batch.column(0)[n].as_py(), batch.column(1)[n].as_py()
+                places = batch.column(2)[n].as_py()
+                a, b = words(0, batch.column(3)[n]), words(1, batch.column(4)[n])
+                at = zip(a.at([p["start"] for p in places]), b.at([p["keep_start"] for p in places]))
+                found = runs(a.hashes, b.hashes, [(i, j) for i, j in at if i >= 0 and j >= 0])
+                if not found:
+                    continue
+                i, j, size = (np.array(c, np.int64) for c in zip(*found))
+                key, check = keys_of(a.hashes, i, i + size)
+                start, kept = a.start[i], b.start[j]
+                columns = np.tile(key, 2), np.tile(check, 2), np.repeat([doc, keep], len(i)), np.concatenate([start, kept]), np.concatenate([a.stop[i + size - 1] - start, b.stop[j + size - 1] - kept])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], NAMES)
+
+    both = pairs.join(texts, "doc_id").join(keeps, "keep_doc_id").select("doc_id", "keep_doc_id", "seeds", "text", "keep_text")
+    return both.mapInArrow(run, PIECES)
+
+
 def repeated_passages(docs: DataFrame, text: str = "text", id_col: str = "doc_id", similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """The pieces that two or more documents share, one row per occurrence: doc_id, start and n_chars (in code points),
     group_id, keep_doc_id and keep_start (the occurrence that stays: the smallest doc_id, then start), kept.
 
+    A passage inside longer lines is reported whole: the run of words that an occurrence shares with the first one. Where a
+    document repeats within itself what others hold too, the chunks are reported. Rows may overlap.
+
     Documents without such a piece have no row. Null and empty texts have no pieces, nor have rows with a null id, which
     can't be told apart; repeated rows of one id count as one document, whose pieces stay in all of its rows. An empty
     table gives no rows; other columns of docs are not read.
@@ -372,13 +462,22 @@ def repeated_passages(docs: DataFrame, text: str = "text", id_col: str = "doc_id
     found = pieces(rows)
     first = F.min(F.struct("doc_id", "start"))
     classes = found.groupBy("key", "check").agg(first.alias("first"), F.max("doc_id").alias("last"))
-    roots = components(near_edges(rows, similarity, recall)).select(F.col("node").alias("key"), "root")
+    roots = written(components(near_edges(rows, similarity, recall)).select(F.col("node").alias("key"), "root"), "passage-roots")
+    # A lone class of one document is in no group; only what is left is looked at further.
+    some = classes.join(roots, "key", "left").where("root IS NOT NULL OR first.doc_id != last").select("key", "check", "first", (F.col("first.doc_id") != F.col("last")).alias("shared"))
+    held = written(found.join(some, ["key", "check"]), "passage-pieces")
+    chunks = held.where("kind = 1 AND shared")
+    same = F.col("doc_id") == F.col("first.doc_id")
+    seeds = chunks.where(~same).select("doc_id", "start", F.col("first.doc_id").alias("keep_doc_id"), F.col("first.start").alias("keep_start"))
+    inside = chunks.where(same & (F.col("start") != F.col("first.start"))).select("key", "check").distinct()
+    every = held.where("kind = 0").select(NAMES).unionByName(chunks.join(inside, ["key", "check"], "left_semi").select(NAMES)).unionByName(spans(rows, seeds))
+    every = written(every.distinct(), "passages")
+    classes = every.groupBy("key", "check").agg(first.alias("first"), F.max("doc_id").alias("last"))
     some = classes.join(roots, "key", "left").withColumn("group_id", F.coalesce("root", "key"))
-    # A lone class of one document is in no group; only what is left is grouped by root.
-    some = written(some.where("root IS NOT NULL OR first.doc_id != last").select("key", "check", "group_id", "first", "last"), "passage-classes")
+    some = some.where("root IS NOT NULL OR first.doc_id != last").select("key", "check", "group_id", "first", "last")
     best = some.groupBy("group_id").agg(F.min("first").alias("keep"), F.max("last").alias("last")).where("keep.doc_id != last").drop("last")
     named = some.join(best, "group_id").select("key", "check", "group_id", "keep")
-    joined = found.join(named, ["key", "check"])
+    joined = every.join(named, ["key", "check"])
     kept = (F.col("doc_id") == F.col("keep.doc_id")) & (F.col("start") == F.col("keep.start"))
     return joined.select("doc_id", "start", "n_chars", "group_id", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.start").alias("keep_start"), kept.alias("kept"))
 

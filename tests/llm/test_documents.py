@@ -320,6 +320,29 @@ def test_passages_against_brute_force(spark):
     assert len(cut) == len(rows) and shared in cut[1000] and shared not in cut[1001] and len(cut[1001]) < len(texts[1001]) - 60 and cut[1001].startswith("start") and cut[1001].endswith("beta")
 
 
+def test_shared_passages_are_found_whole(spark):
+    """Whatever stands around a passage of 50 words or more, all of it is reported in both documents and cut from one."""
+    r = random.Random(21)
+    rows, want = [], {}
+    for n in range(40):
+        shared = " ".join(f"s{n}x{i}" for i in range((50, 55, 60, 100, 200)[n % 5]))
+        for k in (2 * n, 2 * n + 1):
+            before, after = (" ".join(f"{side}{k}y{i}" for i in range(r.randrange(60, 90))) for side in "ab")
+            rows.append((k, f"{before} {shared}, {after}"))
+            want[k] = before, shared, after
+    # An earlier document that holds a part only doesn't shorten what the two others share.
+    part = " ".join(want[9][1].split()[70:130])
+    rows.append((-1, f"quite another start {part} and another end"))
+    got = passages.repeated_passages(docs(spark, rows)).collect()
+    texts = dict(rows)
+    said = {(x["doc_id"], texts[x["doc_id"]][x["start"] : x["start"] + x["n_chars"]]) for x in got}
+    assert all((k, shared) in said for k, (_, shared, _) in want.items())
+    cut = {x["doc_id"]: x["text"].replace(",", " ").split() for x in passages.without_repeats(docs(spark, rows)).collect()}
+    for k, (before, shared, after) in want.items():
+        whole = [*before.split(), *(w for w in shared.split() if k % 2 == 0 and not (k == 8 and w in part.split())), *after.split()]
+        assert cut[k] == whole, k
+
+
 def test_passages_at_the_edges(spark):
     got = passages.repeated_passages(docs(spark, EDGES)).collect()
     assert {r["doc_id"] for r in got} == {8, 9}
