@@ -1,6 +1,6 @@
 """Substring deduplication: paragraphs and passages that documents share, exactly or nearly.
 
-The pieces of a text are its lines of at least LEAST_WORDS words, and chunks of CHUNK words that start at minimizers: words
+The pieces of a text are its lines of at least LEAST_WORDS words, the paragraphs that hard-wrapped lines make up, and chunks of CHUNK words that start at minimizers: words
 with the least hash of some SPAN consecutive ones. A chunk depends on its own surroundings only, so documents that share
 CHUNK + SPAN - 1 = 50 words in a row share a chunk, wherever the passage stands in its line. Chunks are seeds: each is
 extended left and right as far as its words equal those around the first occurrence, and the whole run is the passage.
@@ -27,9 +27,13 @@ from pyspark.sql import functions as F
 from .decontaminate import words_of
 from .shared import components, forget, written
 
-LEAST_WORDS = 20
 CHUNK, SPAN = 20, 31
 SHINGLE = 5
+#: Lines with fewer words have no shingle and are no piece.
+LEAST_WORDS = SHINGLE
+#: A line goes on in the next one if it and the next word fill so much of the longest line up to a blank one, of at most so
+#: many code points.
+FILLED, MOST_WIDTH = 0.75, 120
 SIMILARITY = 0.8
 RECALL = 0.995
 #: Bytes of text cut up at once: bounds the memory of a task.
@@ -101,6 +105,9 @@ class Pieces:
         begin, end, self.words = words_of(self.data.lower())
         lines = np.concatenate([[0], np.flatnonzero(raw == 10) + 1])
         first, last = np.searchsorted(begin, lines), np.searchsorted(begin, np.append(lines[1:], len(raw) + 1))
+        ahead = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+        block = self._wrapped(lines, first, last, ahead, begin, end)
+        first, last = np.concatenate([first, block[0]]), np.concatenate([last, block[1]])
         keep = last - first >= LEAST_WORDS
         document = np.searchsorted(self.offsets, begin, "right") - 1
         chunk = minimizers(self.words, document)
@@ -111,10 +118,24 @@ class Pieces:
         self.begin, self.end = begin[self.first], end[self.last - 1]
         self.doc = np.searchsorted(self.offsets, self.begin, "right") - 1
         self.key, self.check = keys_of(self.words, self.first, self.last)
-        ahead = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
         of = self.offsets[self.doc]
         self.start, self.chars = ahead[self.begin] - ahead[of], ahead[self.end] - ahead[self.begin]
 
+    def _wrapped(self, lines: np.ndarray, first: np.ndarray, last: np.ndarray, ahead: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first, last) word of each paragraph of several lines. One that is little more than one of its lines is left out:
+        that line stands for it."""
+        document = np.searchsorted(self.offsets, lines, "right") - 1
+        length = ahead[np.append(lines[1:] - 1, len(self.data))] - ahead[lines]
+        on = (last > first)[:-1] & (last > first)[1:] & (document[:-1] == document[1:])
+        blocks = np.concatenate([[0], np.flatnonzero(~on) + 1])
+        width = np.repeat(np.maximum.reduceat(length, blocks), np.diff(np.append(blocks, len(lines))))
+        word = np.append(ahead[end] - ahead[begin], 0)[first]
+        on &= (length[:-1] + 1 + word[1:] > FILLED * width[:-1]) & (width[:-1] <= MOST_WIDTH)
+        low, high = np.concatenate([[0], np.flatnonzero(~on) + 1]), np.append(np.flatnonzero(~on), len(lines) - 1)
+        most = np.maximum.reduceat(last - first, low)
+        several = (high > low) & (most < SIMILARITY * (last[high] - first[low]))
+        return first[low][several], last[high][several]
+
     def bands(self, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
         """(places of the lines among the pieces, their band values as (line, band))."""
         line = np.flatnonzero(self.kind == 0)
@@ -452,7 +473,8 @@ def repeated_passages(docs: DataFrame, text: str = "text", id_col: str = "doc_id
     group_id, keep_doc_id and keep_start (the occurrence that stays: the smallest doc_id, then start), kept.
 
     A passage inside longer lines is reported whole: the run of words that an occurrence shares with the first one. Where a
-    document repeats within itself what others hold too, the chunks are reported. Rows may overlap.
+    document repeats within itself what others hold too, the chunks are reported. Rows may overlap; those of a group that
+    begin inside the occurrence that stays, such as a line of a paragraph like it, stay with it.
 
     Documents without such a piece have no row. Null and empty texts have no pieces, nor have rows with a null id, which
     can't be told apart; repeated rows of one id count as one document, whose pieces stay in all of its rows. An empty
@@ -460,7 +482,7 @@ def repeated_passages(docs: DataFrame, text: str = "text", id_col: str = "doc_id
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     found = pieces(rows)
-    first = F.min(F.struct("doc_id", "start"))
+    first = F.min(F.struct("doc_id", "start", (-F.col("n_chars")).alias("less")))
     classes = found.groupBy("key", "check").agg(first.alias("first"), F.max("doc_id").alias("last"))
     roots = written(components(near_edges(rows, similarity, recall)).select(F.col("node").alias("key"), "root"), "passage-roots")
     # A lone class of one document is in no group; only what is left is looked at further.
@@ -478,7 +500,7 @@ def repeated_passages(docs: DataFrame, text: str = "text", id_col: str = "doc_id
     best = some.groupBy("group_id").agg(F.min("first").alias("keep"), F.max("last").alias("last")).where("keep.doc_id != last").drop("last")
     named = some.join(best, "group_id").select("key", "check", "group_id", "keep")
     joined = every.join(named, ["key", "check"])
-    kept = (F.col("doc_id") == F.col("keep.doc_id")) & (F.col("start") == F.col("keep.start"))
+    kept = (F.col("doc_id") == F.col("keep.doc_id")) & (F.col("start") < F.col("keep.start") - F.col("keep.less"))
     return joined.select("doc_id", "start", "n_chars", "group_id", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.start").alias("keep_start"), kept.alias("kept"))
 
 

@@ -343,6 +343,25 @@ def test_shared_passages_are_found_whole(spark):
         assert cut[k] == whole, k
 
 
+def test_short_lines_and_wrapped_paragraphs(spark):
+    words = [f"w{i}" for i in range(70)]
+    wrap = lambda w, n: "\n".join(" ".join(w[i : i + n]) for i in range(0, len(w), n))
+    near = [*words[:30], "changed", *words[31:]]
+    short = "Five words are a line"
+    rows = [(0, f"opening of it\n{short}\n\n{wrap(words, 13)}"), (1, f"{' '.join(words)}\nother end"), (2, f"{wrap(near, 17)}\n\n{short.upper()}!"), (3, f"{short}\nof this document alone")]
+    got = passages.repeated_passages(docs(spark, rows)).collect()
+    texts = dict(rows)
+    said = defaultdict(dict)
+    for x in got:
+        said[words_of(texts[x["doc_id"]][x["start"] : x["start"] + x["n_chars"]])][x["doc_id"]] = x
+    assert {k: v["kept"] for k, v in said[words_of(short)].items()} == {0: True, 2: False, 3: False}
+    whole = {**said[tuple(words)], **said[tuple(near)]}
+    assert {k: v["kept"] for k, v in whole.items()} == {0: True, 1: False, 2: False}
+    assert len({v["group_id"] for v in whole.values()}) == 1
+    cut = {x["doc_id"]: words_of(x["text"]) for x in passages.without_repeats(docs(spark, rows)).collect()}
+    assert cut == {0: words_of(texts[0]), 1: ("other", "end"), 2: (), 3: ("of", "this", "document", "alone")}
+
+
 def test_passages_at_the_edges(spark):
     got = passages.repeated_passages(docs(spark, EDGES)).collect()
     assert {r["doc_id"] for r in got} == {8, 9}
