@@ -6,7 +6,9 @@ back into step, so their embeddings are close in Hamming distance. A table sampl
 windows that agree on them are candidates. Several walks with several samples each give the recall.
 
 An item of n words is looked for by windows of c words, c the largest power of two of which one that starts at a multiple
-of c / 2 lies in any n words. Documents are embedded at these starts only, items at every word. Candidates are verified by
+of c / 2 lies in any n words. Documents are embedded at these starts only, items at every word. So few windows miss many
+items with scattered edits; therefore runs of GRAM words that a document and an item share, looked up at every word, vote
+for the place where the item would start, and places with enough votes are candidates too. Candidates are verified by
 the edit distance of the whole item to the best matching stretch of the document (Myers' bit-parallel algorithm).
 """
 
@@ -23,6 +25,8 @@ SIMILARITY = 0.8
 WALKS, SAMPLES = 4, 5
 #: Items with fewer words can't be told from chance and are not looked for.
 LEAST_WORDS = 5
+#: Words of a run that votes, for items of up to SHORT words and for longer ones; so many words of an item ask for one vote.
+GRAM, SHORT, WORDS_A_VOTE = (2, 3), 8, 12
 #: Items that are sent with the tasks at once; more are searched for in further passes, block by block.
 BLOCK_ITEMS = 20_000
 #: Bytes of text embedded at once: bounds the memory of a task.
@@ -90,6 +94,55 @@ class Tables:
             yield from (x ^ (x >> _u64(29)) for x in sums)
 
 
+def _grams(hashes: np.ndarray, n: int) -> np.ndarray:
+    """A key for every n words in a row."""
+    size = max(0, len(hashes) - n + 1)
+    out = np.zeros(size, np.uint64)
+    for i in range(n):
+        out = _mixed(out * _u64(_BASE) + hashes[i : i + size])
+    return out
+
+
+class Votes:
+    """The runs of GRAM words of some items; finds where a text holds enough of one item's near each other."""
+
+    def __init__(self, some: list[tuple[int, np.ndarray]], gram: int):
+        self.gram = gram
+        keys = [_grams(h, gram) for _, h in some]
+        numbers, offsets = np.repeat([n for n, _ in some], [len(k) for k in keys]), np.concatenate([np.arange(len(k)) for k in keys])
+        keys = np.concatenate(keys)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.numbers, self.offsets = keys[order], numbers[order], offsets[order]
+        bits = min(24, len(keys).bit_length() + 6)
+        self.drop, self.seen = _u64(64 - bits), np.zeros(1 << bits, bool)
+        self.seen[keys >> self.drop] = True
+
+    def places(self, hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """(item number, start, votes) as three rows; start is the place with the most votes of some near each other."""
+        keys = _grams(hashes, self.gram)
+        at = np.flatnonzero(self.seen[keys >> self.drop])
+        low, high = np.searchsorted(self.keys, keys[at], "left"), np.searchsorted(self.keys, keys[at], "right")
+        count = high - low
+        which = np.repeat(low - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+        if not len(which):
+            return np.zeros((3, 0), np.int64)
+        pairs, votes = np.unique(np.stack([self.numbers[which], np.repeat(at, count) - self.offsets[which]]), axis=1, return_counts=True)
+        number, start = pairs
+        size = sizes[number]
+        out = []
+        for turn in range(2):  # places on either side of a border meet the other time
+            width = size // 4 + 2
+            near = (start + turn * (width // 2)) // width
+            order = np.lexsort((-votes, near, number))
+            first = np.ones(len(order), bool)
+            first[1:] = (number[order][1:] != number[order][:-1]) | (near[order][1:] != near[order][:-1])
+            total = np.add.reduceat(votes[order], np.flatnonzero(first))
+            best = order[first]
+            enough = total >= np.maximum(1, size[best] // WORDS_A_VOTE)
+            out.append(np.stack([number[best], start[best], total])[:, enough])
+        return np.concatenate(out, 1)
+
+
 def window_size(words: int) -> int:
     """The largest power of two c with c + c / 2 - 1 <= words."""
     c = 1
@@ -107,14 +160,17 @@ class ItemIndex:
     """The keys of all windows of a block of items; looks up documents."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.items, by_size = [], {}
+        self.items, by_size, by_gram = [], {}, {}
         for item_id, text in items:
             data = (text or "").lower().encode()
             begin, end, hashes = words_of(data)
             if len(hashes) >= LEAST_WORDS:
                 plain = b" ".join(data[a:b] for a, b in zip(begin.tolist(), end.tolist()))
                 by_size.setdefault(window_size(len(hashes)), []).append((len(self.items), hashes))
+                by_gram.setdefault(GRAM[len(hashes) > SHORT], []).append((len(self.items), hashes))
                 self.items.append((item_id, plain, len(hashes)))
+        self.votes = [Votes(some, gram) for gram, some in sorted(by_gram.items())]
+        self.words = np.array([n for *_, n in self.items], np.int64)
         self.sizes = []
         for size, some in sorted(by_size.items()):
             tables, made = Tables(size), None
@@ -148,6 +204,10 @@ class ItemIndex:
         if found:
             pairs, votes = np.unique(np.concatenate(found, 1), axis=1, return_counts=True)
             yield pairs[0], pairs[1], votes
+        for some in self.votes:
+            places = some.places(hashes, self.words)
+            if places.shape[1]:
+                yield places[0], places[1], places[2]
 
 
 def best_distance(pattern: bytes, text: bytes) -> int:

@@ -119,6 +119,33 @@ def test_recall():
     assert recall(0) == 1 and recall(0.05) >= 0.97 and recall(0.15) >= 0.85
 
 
+def recall_at(n, kind, share, items=60, seed=5):
+    """Of items of n words, those found at a similarity of 0.8 or more after edits to a share of their words (at least one)."""
+    r = random.Random(seed)
+    words = [f"{a}{b}{c}{d}" for a in "bdfghk" for b in "aeiou" for c in "lmnrst" for d in ("", "a", "en", "ion", "ity")]
+    known = [(k, " ".join(r.choice(words) for _ in range(n))) for k in range(items)]
+    index, texts, want = decontaminate.ItemIndex(known), [], []
+    for k, t in known:
+        w = t.split()
+        for at in r.sample(range(n), max(1, round(share * n))):
+            letter = r.randrange(len(w[at]))
+            w[at] = r.choice(words) if kind == "word" else w[at][:letter] + "z" + w[at][letter + 1 :]
+        around = [r.choice(words) for _ in range(200)]
+        at = r.randrange(200)
+        texts.append(" ".join(around[:at] + w + around[at:]).encode())
+        if 1 - decontaminate.best_distance(t.encode(), texts[-1]) / len(t) >= 0.8:
+            want.append((k, k))
+    got = {(d, i) for d, i, *_ in decontaminate._search(index, list(range(items)), texts, 0.8)}
+    return len(want), sum(x in got for x in want) / max(1, len(want))
+
+
+@pytest.mark.parametrize("n", [6, 11, 23, 47, 95])
+@pytest.mark.parametrize(("kind", "share"), [("typo", 0.01), ("typo", 0.15), ("typo", 0.2), ("typo", 0.4), ("word", 0.15), ("word", 0.2)])
+def test_recall_of_every_length(n, kind, share):
+    some, found = recall_at(n, kind, share)
+    assert some > 20 and found >= 0.9
+
+
 # Toxicity
 
 
