@@ -39,6 +39,13 @@ def test_extract_by_wrapper(spark):
     assert html_extract.extract(pages(spark, [])).count() == 0
 
 
+def test_marked_inline_tags_stay_in_their_sentence(spark):
+    body = lambda n: f"<p>See <a class='ext' id=l{n} href=x>the words {n}</a> now, <b class=label>Note</b> this {n}.<span class=share>Share {n}</span></p>"
+    rows = [(n, "http://one.example.com/x", page(f"Title {n}", body(n))) for n in range(6)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(pages(spark, rows)).collect()}
+    assert got == {n: f"Title {n} See the words {n} now, Note this {n}." for n in range(6)}
+
+
 def test_extract_joins_wrappers_that_are_too_large_to_send(spark, monkeypatch):
     rows = [(n, f"http://h{n % 3}.example.com/", page(f"T{n}", f"<p>Text {n}.</p>")) for n in range(9)]
     a = sorted(map(tuple, html_extract.extract(pages(spark, rows)).collect()))
