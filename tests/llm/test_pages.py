@@ -46,6 +46,14 @@ def test_marked_inline_tags_stay_in_their_sentence(spark):
     assert got == {n: f"Title {n} See the words {n} now, Note this {n}." for n in range(6)}
 
 
+def test_copies_of_a_page_are_no_template(spark):
+    table = "<table><tr><td>Only here</td></tr></table><blockquote>And this</blockquote>"
+    rows = [(n, "http://one.example.com/x", page("Copy", f"<p>The same.</p>{table}")) for n in range(5)]
+    rows += [(n, "http://one.example.com/y", page(f"Title {n}", f"<p>Paragraph {n}.</p>")) for n in range(5, 9)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(pages(spark, rows)).collect()}
+    assert got == {n: "Copy The same. Only here And this" if n < 5 else f"Title {n} Paragraph {n}." for n in range(9)}
+
+
 def test_extract_joins_wrappers_that_are_too_large_to_send(spark, monkeypatch):
     rows = [(n, f"http://h{n % 3}.example.com/", page(f"T{n}", f"<p>Text {n}.</p>")) for n in range(9)]
     a = sorted(map(tuple, html_extract.extract(pages(spark, rows)).collect()))
