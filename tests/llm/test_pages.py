@@ -54,6 +54,14 @@ def test_copies_of_a_page_are_no_template(spark):
     assert got == {n: "Copy The same. Only here And this" if n < 5 else f"Title {n} Paragraph {n}." for n in range(9)}
 
 
+def test_a_second_layout_without_article_keeps_its_text(spark):
+    rows = [(n, "http://one.example.com/x", page(f"Title {n}", f"<p>Paragraph {n}.</p>")) for n in range(5)]
+    rows += [(n, "http://one.example.com/y", f"<body><nav>Menu</nav><div class=content><p>Other text {n}</p></div><footer>Imprint</footer></body>") for n in range(5, 12)]
+    rows += [(12, "http://one.example.com/z", "plain <i>text</i> only")]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(pages(spark, rows)).collect()}
+    assert got == {n: f"Title {n} Paragraph {n}." if n < 5 else f"Other text {n}" if n < 12 else "plain text only" for n in range(13)}
+
+
 def test_extract_joins_wrappers_that_are_too_large_to_send(spark, monkeypatch):
     rows = [(n, f"http://h{n % 3}.example.com/", page(f"T{n}", f"<p>Text {n}.</p>")) for n in range(9)]
     a = sorted(map(tuple, html_extract.extract(pages(spark, rows)).collect()))
