@@ -37,7 +37,8 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
     """left.join(right, keys, how), where keys may be maps; the keys of the left stay."""
     names = [f"_key{n}" for n in range(len(keys))]
     left = left.select("*", *(c.alias(n) for c, n in zip(sortable(left, keys), names)))
-    right = right.select(*(c.alias(n) for c, n in zip(sortable(right, keys), names)), *(c for c in right.columns if c not in keys))
+    rest = (c for c in right.columns if c not in keys)
+    right = right.select(*(c.alias(n) for c, n in zip(sortable(right, keys), names)), *rest)
     return left.join(right, names, how).drop(*names)
 
 
@@ -80,5 +81,8 @@ def number_label(q: Column) -> Column:
 
 
 def type_name(raw: Column) -> Column:
-    """The bare name of a type: without what encloses it and without parameters; empty for none."""
-    return F.coalesce(F.regexp_extract(raw, r"([A-Za-z_0-9]+)\s*(?:<.*)?$", 1), F.lit(""))
+    """The bare name of a type: without what encloses it and without parameters, however nested; empty for none."""
+    brackets = F.length(raw) - F.length(F.replace(raw, F.lit("<"), F.lit("")))
+    # Each step takes the innermost brackets away; what then follows an unclosed one goes too.
+    plain = F.aggregate(F.sequence(F.lit(0), brackets), raw, lambda name, _: F.regexp_replace(name, "<[^<>]*>", ""))
+    return F.coalesce(F.trim(F.element_at(F.split(F.regexp_replace(plain, "<.*", ""), "::"), -1)), F.lit(""))

@@ -57,20 +57,73 @@ def divide(a: Column, b: Column) -> Column:
 
 def int_divide(a: Column, b: Column) -> Column:
     """Whole division towards zero, 0 where b is 0."""
-    return F.when(b == 0, F.lit(0).cast("long")).otherwise(F.call_function("div", a.cast("long"), F.nullif(b.cast("long"), F.lit(0).cast("long"))))
+    zero = F.lit(0).cast("long")
+    return F.when(b == 0, zero).otherwise(F.call_function("div", a.cast("long"), F.nullif(b.cast("long"), zero)))
 
 
 def text_add(a: Column, b: Column) -> Column:
     return F.concat(a, b)
 
 
+#: Which of two types decides what an operation gives; the left one where they are equal.
+SCORES = {"string": 1, "byte": 10, "short": 20, "int": 40, "long": 80, "float": 80, "duration": 82, "double": 160}
+_WHOLE = ("byte", "short", "int", "long", "duration")
+
+
+@dataclass(frozen=True)
+class Typed:
+    """A column with the type that it plays: durations are nanoseconds as longs. + - * / give the higher type's result.
+
+    Texts that are no number count as 0 among whole numbers and as NaN among floats; texts are joined by + and by -
+    (with the other's sign turned), and * and / leave the left one as it is. The operands of / never change places.
+    """
+
+    column: Column
+    kind: str
+
+    def _to(self, kind: str) -> Column:
+        if self.kind == kind:
+            return self.column
+        if kind == "string":
+            return show(self.column, self.kind)
+        if kind in _WHOLE:
+            whole = parse_whole(self.column) if self.kind == "string" else to_whole(self.column)
+            return whole.cast("long" if kind == "duration" else kind)
+        return (parse_float(self.column) if self.kind == "string" else self.column).cast(kind)
+
+    def _with(self, other: Typed) -> tuple[str, Column, Column]:
+        kind = other.kind if SCORES[other.kind] > SCORES[self.kind] else self.kind
+        return kind, self._to(kind), other._to(kind)
+
+    def __add__(self, other: Typed) -> Typed:
+        kind, a, b = self._with(other)
+        return Typed(text_add(a, b) if kind == "string" else add(a, b), kind)
+
+    def __neg__(self) -> Typed:
+        return Typed(negate_text(self.column) if self.kind == "string" else negate(self.column), self.kind)
+
+    def __sub__(self, other: Typed) -> Typed:
+        kind, a, b = self._with(other)
+        return self + -other if kind == "string" else Typed(subtract(a, b), kind)
+
+    def __mul__(self, other: Typed) -> Typed:
+        kind, a, b = self._with(other)
+        return Typed(a if kind == "string" else multiply(a, b), kind)
+
+    def __truediv__(self, other: Typed) -> Typed:
+        kind, a, b = self._with(other)
+        return Typed(a if kind == "string" else int_divide(a, b) if kind in _WHOLE else divide(a, b), kind)
+
+
 def negate(a: Column) -> Column:
     return -a
 
 
 def negate_text(a: Column) -> Column:
     """A numeric text with its sign turned; other texts stay."""
-    return F.when(F.try_to_number(F.ltrim(a), F.lit("S99999999999999999999.99999999")).isNull() & a.try_cast("double").isNull(), a).when(a.startswith("-"), F.substring(a, 2, 1 << 30)).otherwise(F.concat(F.lit("-"), a))
+    number = F.try_to_number(F.ltrim(a), F.lit("S99999999999999999999.99999999"))
+    turned = F.when(a.startswith("-"), F.substring(a, 2, 1 << 30)).otherwise(F.concat(F.lit("-"), a))
+    return F.when(number.isNull() & a.try_cast("double").isNull(), a).otherwise(turned)
 
 
 def invert(a: Column) -> Column:

@@ -22,7 +22,7 @@ class Reservoir(Protocol):
     def choose(self, rows: DataFrame, keys: Sequence[str]) -> DataFrame: ...
 
 
-def _first(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], size: int) -> DataFrame:
+def first_rows(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], size: int) -> DataFrame:
     """The rank filter stands right above the window, so that only `size` rows of a key leave each task."""
     n = F.row_number().over(Window.partitionBy(*sortable(rows, keys)).orderBy(*order))
     return rows.withColumn("_n", n).where(F.col("_n") <= size).drop("_n")
@@ -35,7 +35,7 @@ class LastN:
         self.size, self.order = size, order
 
     def choose(self, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-        return _first(rows, keys, [F.desc(c) for c in self.order], self.size)
+        return first_rows(rows, keys, [F.desc(c) for c in self.order], self.size)
 
 
 class Uniform:
@@ -47,10 +47,11 @@ class Uniform:
     def choose(self, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
         drawn = F.md5(F.concat_ws(":", F.lit(str(self.seed)), F.col(self.seq).cast("string")))
         if not self.recency_biased:
-            return _first(rows, keys, [drawn, F.col(self.seq)], self.size)
+            return first_rows(rows, keys, [drawn, F.col(self.seq)], self.size)
         # Each later row overwrites one of the slots: a row's chance falls by (1 - 1 / size) with each that follows.
         unit = (F.conv(F.substring(drawn, 1, 12), 16, 10).cast("double") + 1) / float(1 << 48)
-        return _first(rows, keys, [(F.log(-F.log(unit)) - F.col(self.seq) / float(self.size)), F.col(self.seq)], self.size)
+        order = F.log(-F.log(unit)) - F.col(self.seq) / float(self.size)
+        return first_rows(rows, keys, [order, F.col(self.seq)], self.size)
 
 
 class Sliding:
@@ -61,29 +62,41 @@ class Sliding:
 
     def choose(self, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
         asof = self.asof if isinstance(self.asof, Column) else F.lit(self.asof)
-        newest = LastN(self.size, self.order).choose(rows.where(F.col(self.order[0]) >= asof - self.window), keys)
-        return newest
+        return LastN(self.size, self.order).choose(rows.where(F.col(self.order[0]) >= asof - self.window), keys)
 
 
 def sorted_values(rows: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
-    return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.col(value).cast("double"))).alias("values"))
+    """The values of each key in one array: for rows that a reservoir has bounded. For others, stats.exact()."""
+    values = F.array_sort(F.collect_list(F.col(value).cast("double")))
+    return rows.groupBy(*keys).agg(values.alias("values"))
 
 
-def histogram(events: DataFrame, reservoir: Reservoir | None = None, keys: Sequence[str] = KEYS, value: str = "value") -> DataFrame:
+def histogram(
+    events: DataFrame, reservoir: Reservoir | None = None, keys: Sequence[str] = KEYS, value: str = "value"
+) -> DataFrame:
     """(keys, values, count): the sorted values of the reservoir, and how many there ever were."""
-    reservoir = reservoir or Uniform()
     counts = events.groupBy(*keys).agg(F.count("*").alias("count"))
-    values = sorted_values(reservoir.choose(events, keys), keys, value)
-    return join_on(counts, values, keys, "left").withColumn("values", F.coalesce("values", F.array().cast("array<double>")))
+    values = sorted_values((reservoir or Uniform()).choose(events, keys), keys, value)
+    joined = join_on(counts, values, keys, "left")
+    return joined.withColumn("values", F.coalesce("values", F.array().cast("array<double>")))
 
 
-def summary(histograms: DataFrame, keys: Sequence[str] = KEYS, quantiles: Sequence[float] = stats.DEFAULT_QUANTILES) -> DataFrame:
+def summary(
+    histograms: DataFrame, keys: Sequence[str] = KEYS, quantiles: Sequence[float] = stats.DEFAULT_QUANTILES
+) -> DataFrame:
     """(keys, count, size, mean, min, max, quantiles) of histogram rows."""
     v = F.col("values")
-    return histograms.select(*keys, "count", F.size(v).alias("size"), stats.mean(v).alias("mean"), stats.least(v).alias("min"), stats.greatest(v).alias("max"), stats.quantiles(v, tuple(quantiles)).alias("quantiles"))
+    return histograms.select(
+        *keys, "count", F.size(v).alias("size"), stats.mean(v).alias("mean"), stats.least(v).alias("min"),
+        stats.greatest(v).alias("max"), stats.quantiles(v, tuple(quantiles)).alias("quantiles"),
+    )
 
 
-def timer(durations: DataFrame, windows: Sequence[int], interval: int, asof: int, reservoir: Reservoir | None = None, keys: Sequence[str] = KEYS, duration: str = "value", failed: Column | None = None, include_failed: bool = False, ts: str = "ts") -> DataFrame:
+def timer(
+    durations: DataFrame, windows: Sequence[int], interval: int, asof: int, reservoir: Reservoir | None = None,
+    keys: Sequence[str] = KEYS, duration: str = "value", failed: Column | None = None, include_failed: bool = False,
+    ts: str = "ts",
+) -> DataFrame:
     """(keys, values, count, mean, rates): a histogram of the durations and a meter of the calls.
 
     Durations of zero are left out, and so are failed calls unless include_failed.
@@ -92,4 +105,5 @@ def timer(durations: DataFrame, windows: Sequence[int], interval: int, asof: int
     if failed is not None and not include_failed:
         rows = rows.where(~failed)
     calls = rows.withColumn("_one", F.lit(1.0))
-    return join_on(histogram(rows, reservoir, keys, duration), meter(calls, windows, interval, asof, keys, ts, "_one"), keys)
+    rates = meter(calls, windows, interval, asof, keys, ts, "_one")
+    return join_on(histogram(rows, reservoir, keys, duration), rates, keys)

@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import join_on
+from .histogram import first_rows, sorted_values
+
+#: Values of a merged histogram, at most: a merged reservoir is a reservoir again.
+MOST_VALUES = 1 << 16
 
 
 def cumulative(snapshots: DataFrame, keys: Sequence[str] = ("path",), value: str = "value") -> DataFrame:
@@ -26,38 +30,64 @@ def weighted(a: Column, na: Column, b: Column, nb: Column) -> Column:
 
 def meters(snapshots: DataFrame, keys: Sequence[str] = ("path",)) -> DataFrame:
     """(keys, mean, samples, rates): averages by window; the tag sets of one path share their windows."""
-    each = snapshots.select(*keys, F.explode("rates").alias("_w", "_r")).groupBy(*keys, "_w").agg(F.avg("_r").alias("_r"))
-    rates = each.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_w", "_r")))).alias("rates"))
-    return join_on(snapshots.groupBy(*keys).agg(F.avg("mean").alias("mean"), F.count("*").alias("samples")), rates, keys)
+    each = snapshots.select(*keys, F.explode("rates").alias("_w", "_r")).groupBy(*keys, "_w")
+    pairs = F.array_sort(F.collect_list(F.struct("_w", "_r")))
+    rates = each.agg(F.avg("_r").alias("_r")).groupBy(*keys).agg(F.map_from_entries(pairs).alias("rates"))
+    means = snapshots.groupBy(*keys).agg(F.avg("mean").alias("mean"), F.count("*").alias("samples"))
+    return join_on(means, rates, keys)
 
 
 def merge_meters(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Two meter tables (keys, mean, samples, rates): the left's windows stay, those only on the right go."""
-    r = right.select(*keys, F.col("mean").alias("_m"), F.col("samples").alias("_n"), F.col("rates").alias("_r"))
-    joined = join_on(left.withColumnRenamed("samples", "_s"), r, keys, "left")
-    n = F.coalesce("_n", F.lit(0))
-    one = lambda w, x: F.when(F.col("_r")[w].isNull(), x).otherwise(weighted(x, F.col("_s"), F.col("_r")[w], n))
-    return joined.select(*keys, weighted(F.col("mean"), F.col("_s"), F.coalesce("_m", F.lit(0.0)), n).alias("mean"), (F.col("_s") + n).alias("samples"), F.when(F.col("_r").isNull(), F.col("rates")).otherwise(F.transform_values("rates", one)).alias("rates"))
+    theirs = right.select(*keys, F.col("mean").alias("_m"), F.col("samples").alias("_n"), F.col("rates").alias("_r"))
+    joined = join_on(left.withColumnRenamed("samples", "_s"), theirs, keys, "left")
+    n, s, rates = F.coalesce("_n", F.lit(0)), F.col("_s"), F.col("_r")
+
+    def one(w: Column, x: Column) -> Column:
+        return F.when(rates[w].isNull(), x).otherwise(weighted(x, s, rates[w], n))
+
+    merged = F.when(rates.isNull(), F.col("rates")).otherwise(F.transform_values("rates", one))
+    mean = weighted(F.col("mean"), s, F.coalesce("_m", F.lit(0.0)), n)
+    return joined.select(*keys, mean.alias("mean"), (s + n).alias("samples"), merged.alias("rates"))
 
 
-def histograms(snapshots: DataFrame, keys: Sequence[str] = ("path",)) -> DataFrame:
-    """(keys, values, count): counts add up; the values are those of all reservoirs together, each of them bounded."""
-    return snapshots.groupBy(*keys).agg(F.array_sort(F.flatten(F.collect_list("values"))).alias("values"), F.sum("count").alias("count"))
+def histograms(snapshots: DataFrame, keys: Sequence[str] = ("path",), most: int = MOST_VALUES) -> DataFrame:
+    """(keys, values, count): counts add up; the values are those of all reservoirs together.
+
+    Beyond `most` values they are sampled down again: each value stands for count / size of its histogram's updates, and
+    values with more weight are likelier to stay. No task passes on more of a key than that.
+    """
+    counts = snapshots.groupBy(*keys).agg(F.sum("count").alias("count"))
+    weight = F.col("count") / F.nullif(F.size("values"), F.lit(0))
+    each = snapshots.select(
+        *keys, F.xxhash64("values", "count").alias("_h"), weight.alias("_w"), F.posexplode("values").alias("_p", "value")
+    )
+    unit = (F.pmod(F.xxhash64("_h", "_p", "value"), F.lit(1 << 52)).cast("double") + 1) / float((1 << 52) + 1)
+    kept = first_rows(each, keys, [-F.log(unit) / F.col("_w"), F.col("value")], most)
+    joined = join_on(counts, sorted_values(kept, keys), keys, "left")
+    return joined.select(*keys, F.coalesce("values", F.array().cast("array<double>")).alias("values"), "count")
 
 
 def zigzag(left: Column, right: Column) -> Column:
     """The alternative merge of two sorted arrays: steps from one to the other, starting on the right, always to the next
     larger value. Loses and drops values; kept for comparison with published figures only."""
-    start = F.struct(F.array().cast("array<double>").alias("out"), F.lit(None).cast("double").alias("now"), F.lit(True).alias("right"))
+    empty = F.array().cast("array<double>")
+    start = F.struct(empty.alias("out"), F.lit(None).cast("double").alias("now"), F.lit(True).alias("right"))
 
     def step(s, _):
-        above = lambda v: F.get(F.filter(v, lambda x: s["now"].isNull() | (x > s["now"])), F.lit(0))
-        here, there = F.when(s["right"], above(right)).otherwise(above(left)), F.when(s["right"], above(left)).otherwise(above(right))
+        def above(v: Column) -> Column:
+            return F.get(F.filter(v, lambda x: s["now"].isNull() | (x > s["now"])), F.lit(0))
+
+        here = F.when(s["right"], above(right)).otherwise(above(left))
+        there = F.when(s["right"], above(left)).otherwise(above(right))
         value = F.coalesce(here, there)
-        return F.struct(F.when(value.isNull(), s["out"]).otherwise(F.array_append(s["out"], value)).alias("out"), F.coalesce(value, s["now"]).alias("now"), (~s["right"]).alias("right"))
+        out = F.when(value.isNull(), s["out"]).otherwise(F.array_append(s["out"], value))
+        return F.struct(out.alias("out"), F.coalesce(value, s["now"]).alias("now"), (~s["right"]).alias("right"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(left) + F.size(right), F.lit(1))), start, step, lambda s: s["out"])
+    steps = F.sequence(F.lit(1), F.greatest(F.size(left) + F.size(right), F.lit(1)))
+    return F.aggregate(steps, start, step, lambda s: s["out"])
 
 
-def timers(snapshots: DataFrame, keys: Sequence[str] = ("path",)) -> DataFrame:
-    return join_on(histograms(snapshots, keys), meters(snapshots, keys), keys)
+def timers(snapshots: DataFrame, keys: Sequence[str] = ("path",), most: int = MOST_VALUES) -> DataFrame:
+    """(keys, values, count, mean, samples, rates): histograms and meters, each by its rule."""
+    return join_on(histograms(snapshots, keys, most), meters(snapshots, keys), keys)

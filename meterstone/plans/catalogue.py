@@ -1,549 +1,22 @@
-"""The queries of the metrics engine over the driver's tables, each beside the SQL that it is held against.
-
-ASOF stands for the clock; floating results are rounded, since engines add in another order.
-"""
+"""The queries of the metrics engine over the driver's tables, each beside the SQL that it is held against."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from ..functions import paths, stats, values
-from ..operators import basic, ewma, histogram, registry, rollup
-from ..sources.events import measurements, micros
-from ..streaming import live
-from . import exposition
-
-#: 2024-01-31 00:00:00 UTC in microseconds: just after the last event.
-ASOF = 1_706_659_200_000_000
-HOUR, DAY = 3_600_000_000, 86_400_000_000
-WINDOWS = (6 * HOUR, DAY, 7 * DAY)
-
-_found: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
-
-
-def query(sql: str | None):
-    def add(f):
-        _found[f.__name__] = f, sql
-        return f
 
-    return add
+from . import metric_queries, registry_queries, text_queries  # noqa: F401 (they note their queries down)
+from .book import found
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, (f, _) in _found.items()}
+    return {k: f for k, (f, _) in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: s for k, (_, s) in _found.items() if s}
-
-
-def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _read(spark, sf_dir, "events")
-    return e.select("event_type", "user_id", micros(F.col("ts")).alias("ts"), F.col("event_id").alias("seq"), "value", "props")
-
-
-def _metric_events(spark: SparkSession, sf_dir: str, kind: str = "counter", value=None) -> DataFrame:
-    e = _events(spark, sf_dir)
-    return measurements(e, paths.path("events", F.col("event_type")), F.col("ts"), F.col("seq"), F.col("value") if value is None else value, {"group": F.col("user_id") % 3}, kind)
-
-
-def _type() -> F.Column:
-    return F.col("path")[1].alias("event_type")
-
-
-def _flat(df: DataFrame, *cols) -> DataFrame:
-    return df.select(_type(), *cols)
+    return {k: s for k, (_, s) in found.items() if s}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prom_counter(spark, sf_dir)
-
-
-_E = "events AS (SELECT *, epoch_us(ts) AS t, user_id % 3 AS grp FROM main.events)"
-_NAME = "'events:' || event_type"
-
-# Counters and gauges
-
-
-@query("SELECT event_type, user_id, sum(round(value * 100)::BIGINT)::BIGINT AS total, count(*) AS n FROM events GROUP BY 1, 2")
-def counter_by_tag(spark, sf_dir):
-    e = _events(spark, sf_dir).withColumn("value", F.round(F.col("value") * 100).cast("long"))
-    return e.groupBy("event_type", "user_id").agg(F.sum("value").alias("total"), F.count("*").alias("n"))
-
-
-@query("SELECT event_type, sum(n)::BIGINT AS total FROM (SELECT event_type, user_id % 3 AS g, 5 + count(*) AS n FROM events GROUP BY 1, 2) GROUP BY 1")
-def counter_rollup(spark, sf_dir):
-    e = _metric_events(spark, sf_dir, value=F.lit(1))
-    return _flat(rollup.cumulative(basic.counter(e, initial=5)), F.col("value").alias("total"))
-
-
-@query("""WITH e AS (SELECT user_id, event_id, round(value)::BIGINT AS v, event_type = 'purchase' OR event_id % 7 = 0 AS a FROM events),
-l AS (SELECT user_id, max(event_id) AS last_id, arg_max(v, event_id) AS s FROM e WHERE a GROUP BY 1)
-SELECT e.user_id, coalesce(any_value(s), 10)::BIGINT + coalesce(sum(CASE WHEN NOT a AND (last_id IS NULL OR event_id > last_id) THEN v END), 0)::BIGINT AS value FROM e LEFT JOIN l USING (user_id) GROUP BY 1""")
-def counter_reset_segments(spark, sf_dir):
-    e = _events(spark, sf_dir).withColumn("assign", (F.col("event_type") == "purchase") | (F.col("seq") % 7 == 0)).withColumn("value", F.round("value").cast("long"))
-    return basic.counter_with_resets(e, ["user_id"], ["seq"], initial=10).select("user_id", F.col("value").cast("long").alias("value"))
-
-
-@query("SELECT event_type, user_id, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY 1, 2")
-def gauge_last_value(spark, sf_dir):
-    return basic.gauge(_events(spark, sf_dir), ["event_type", "user_id"])
-
-
-@query("SELECT event_type, round(avg(v), 6) AS value, count(*) AS samples FROM (SELECT event_type, user_id, arg_max(value, (ts, event_id)) AS v FROM events GROUP BY 1, 2) GROUP BY 1")
-def gauge_rollup_avg(spark, sf_dir):
-    g = basic.gauge(_events(spark, sf_dir), ["event_type", "user_id"])
-    return rollup.average(g, ["event_type"]).withColumn("value", F.round("value", 6))
-
-
-@query("SELECT event_type, round(sum(v), 4) AS value FROM (SELECT event_type, user_id, arg_max(value, (ts, event_id)) AS v FROM events GROUP BY 1, 2) GROUP BY 1")
-def gauge_rollup_sum(spark, sf_dir):
-    g = basic.gauge(_events(spark, sf_dir), ["event_type", "user_id"])
-    return rollup.cumulative(g, ["event_type"]).withColumn("value", F.round("value", 4))
-
-
-@query("SELECT n_name, round(sum(c_acctbal), 2) AS total, round(avg(c_acctbal), 4) AS average FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
-def gauge_pull_source(spark, sf_dir):
-    names = _read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
-    c = _read(spark, sf_dir, "customer").select("c_nationkey", "c_acctbal").groupBy("c_nationkey").agg(F.sum("c_acctbal").alias("total"), F.count("*").alias("n"))
-    return c.join(names, "c_nationkey").select("n_name", F.round("total", 2).alias("total"), F.round(F.col("total") / F.col("n"), 4).alias("average"))
-
-
-# EWMAs and meters
-
-
-def _ewma_sql(window: int, keys: str, bucket: int = HOUR) -> str:
-    a = ewma.alpha(window, bucket)
-    return f"""b AS (SELECT {keys}, floor(t / {float(bucket)})::BIGINT AS k, sum(value) AS v FROM e GROUP BY ALL),
-r AS (SELECT {keys}, sum(CASE WHEN k <= {ASOF // bucket - 1} THEN {a!r}::DOUBLE * pow({1 - a!r}::DOUBLE, {ASOF // bucket - 1} - k) * v END)
-  + pow({1 - a!r}::DOUBLE, {ASOF // bucket} - min(k)) * arg_min(v, k) AS rate FROM b GROUP BY ALL)"""
-
-
-_ET = "e AS (SELECT *, epoch_us(ts) AS t, user_id % 3 AS grp FROM events)"
-
-
-@query(f"WITH {_ET}, {_ewma_sql(DAY, 'event_type, user_id')} SELECT event_type, user_id, round(rate, 6) AS value FROM r")
-def ewma_grid(spark, sf_dir):
-    return ewma.ewma(_events(spark, sf_dir), DAY, HOUR, ASOF, ["event_type", "user_id"]).withColumn("value", F.round("value", 6))
-
-
-@query(f"WITH {_ET}, {_ewma_sql(DAY, 'event_type, user_id')} SELECT event_type, round(avg(rate), 6) AS value, count(*) AS samples FROM r GROUP BY 1")
-def ewma_rollup_avg(spark, sf_dir):
-    each = ewma.ewma(_events(spark, sf_dir), DAY, HOUR, ASOF, ["event_type", "user_id"])
-    return rollup.average(each, ["event_type"]).withColumn("value", F.round("value", 6))
-
-
-_A = ewma.alpha(DAY, DAY)
-
-
-@query(f"""WITH RECURSIVE m AS (SELECT event_type, epoch_us(date_trunc('day', ts)) AS t, sum(value) AS x FROM events GROUP BY 1, 2),
-o AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY t) AS n FROM (SELECT * FROM m UNION ALL SELECT DISTINCT event_type, {ASOF + DAY}, 0.0 FROM m)),
-f AS (SELECT event_type, 1 AS n, 0.0::DOUBLE AS rate, {ASOF - 31 * DAY}::BIGINT AS last, x AS pending, false AS ticked FROM (SELECT * FROM o WHERE n = 1 AND t - {ASOF - 31 * DAY} < {DAY})
-  UNION ALL SELECT event_type, 1, 0.0::DOUBLE, t, x, true FROM o WHERE n = 1 AND t - {ASOF - 31 * DAY} >= {DAY}
-  UNION ALL SELECT f.event_type, o.n, CASE WHEN f.rate = 0 AND NOT f.ticked THEN f.pending ELSE (f.rate + {_A!r}::DOUBLE * (f.pending - f.rate)) * pow({1 - _A!r}::DOUBLE, (o.t - f.last) // {DAY} - 1) END, o.t, o.x, true FROM f JOIN o ON o.event_type = f.event_type AND o.n = f.n + 1)
-SELECT event_type, round(arg_max(rate, n), 6) AS value FROM f GROUP BY 1""")
-def ewma_replay(spark, sf_dir):
-    day = F.unix_micros(F.date_trunc("day", F.timestamp_micros("ts"))).alias("ts")
-    e = _events(spark, sf_dir).groupBy("event_type", day).agg(F.sum("value").alias("value")).withColumn("seq", F.col("ts"))
-    return ewma.ewma_replay(e, DAY, DAY, ASOF - 31 * DAY, ASOF + DAY, ["event_type"]).withColumn("value", F.round("value", 6))
-
-
-def _rates_sql(select: str) -> str:
-    each = " UNION ALL ".join(f"SELECT event_type, grp, {w}::BIGINT AS window_us, rate FROM (WITH {_ewma_sql(w, 'event_type, grp')} SELECT * FROM r)" for w in WINDOWS)
-    return f"WITH {_ET}, rates AS ({each}) {select}"
-
-
-def _meters(spark, sf_dir):
-    return ewma.meter(_metric_events(spark, sf_dir, "meter"), WINDOWS, HOUR, ASOF)
-
-
-@query(_rates_sql("SELECT event_type, grp::VARCHAR AS grp, window_us, round(rate, 6) AS rate FROM rates"))
-def meter_rates(spark, sf_dir):
-    return _meters(spark, sf_dir).select(_type(), F.col("tags")["group"].alias("grp"), F.explode("rates").alias("window_us", "rate")).withColumn("rate", F.round("rate", 6))
-
-
-@query(f"SELECT event_type, (user_id % 3)::VARCHAR AS grp, round(sum(value) / (({ASOF} - min(epoch_us(ts))) / {float(HOUR)}), 6) AS mean FROM events GROUP BY 1, 2")
-def meter_mean(spark, sf_dir):
-    return _meters(spark, sf_dir).select(_type(), F.col("tags")["group"].alias("grp"), F.round("mean", 6).alias("mean"))
-
-
-@query(_rates_sql("SELECT event_type, window_us, round(avg(rate), 6) AS rate, count(*) AS samples FROM rates GROUP BY 1, 2"))
-def meter_rollup(spark, sf_dir):
-    up = rollup.meters(_meters(spark, sf_dir))
-    return up.select(_type(), "samples", F.explode("rates").alias("window_us", "rate")).select("event_type", "window_us", F.round("rate", 6).alias("rate"), "samples")
-
-
-@query(f"""WITH o AS (SELECT o_orderpriority, epoch_us(o_orderdate) AS t FROM orders), c AS (SELECT max(t) + {DAY} AS now_us FROM o)
-SELECT o_orderpriority, count(*) AS n, round(count(*) / ((any_value(now_us) - min(t)) / {float(DAY)}), 6) AS per_day FROM o, c GROUP BY 1""")
-def meter_orders(spark, sf_dir):
-    o = _read(spark, sf_dir, "orders").select("o_orderpriority", micros(F.col("o_orderdate")).alias("ts"), F.lit(1.0).alias("value"))
-    asof = o.agg(F.max("ts")).first()[0] + DAY
-    m = ewma.meter(o, [30 * DAY], DAY, asof, ["o_orderpriority"])
-    n = o.groupBy("o_orderpriority").agg(F.count("*").alias("n"))
-    return m.join(n, "o_orderpriority").select("o_orderpriority", "n", F.round("mean", 6).alias("per_day"))
-
-
-@query(_rates_sql("""SELECT l.event_type, l.window_us, round(CASE WHEN r.rate IS NULL THEN l.rate ELSE (l.rate + r.rate) / 2 END, 6) AS rate, 2 AS samples
-FROM rates l LEFT JOIN rates r ON r.event_type = l.event_type AND r.grp = 1 AND r.window_us = l.window_us AND r.window_us != """ + f"{WINDOWS[0]}" + " WHERE l.grp = 0"))
-def meter_merge(spark, sf_dir):
-    e = _metric_events(spark, sf_dir, "meter")
-    one = lambda g, w: ewma.meter(e.where(F.col("tags")["group"] == str(g)), w, HOUR, ASOF, ["path"]).withColumn("samples", F.lit(1))
-    merged = rollup.merge_meters(one(0, WINDOWS), one(1, WINDOWS[1:]), ["path"])
-    return merged.select(_type(), F.explode("rates").alias("window_us", "rate"), F.col("samples").cast("int").alias("samples")).withColumn("rate", F.round("rate", 6))
-
-
-# Reservoirs and histograms
-
-_STATS = "len(v) AS size, round(list_avg(v), 6) AS mean, v[1] AS least, v[-1] AS greatest"
-
-
-def _stats_cols():
-    v = F.col("values")
-    return F.size(v).cast("long").alias("size"), F.round(stats.mean(v), 6).alias("mean"), stats.least(v).alias("least"), stats.greatest(v).alias("greatest")
-
-
-@query(f"""WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS n FROM events),
-h AS (SELECT event_type, list(value ORDER BY value) AS v FROM r WHERE n <= 200 GROUP BY 1), c AS (SELECT event_type, count(*) AS count FROM events GROUP BY 1)
-SELECT event_type, count, {_STATS} FROM h JOIN c USING (event_type)""")
-def hist_last_n(spark, sf_dir):
-    return histogram.histogram(_events(spark, sf_dir), histogram.LastN(200), ["event_type"]).select("event_type", "count", *_stats_cols())
-
-
-@query(f"""WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE epoch_us(ts) >= {ASOF - DAY}),
-h AS (SELECT event_type, list(value ORDER BY value) AS v FROM r WHERE n <= 100 GROUP BY 1), c AS (SELECT event_type, count(*) AS count FROM events GROUP BY 1)
-SELECT event_type, count, {_STATS} FROM h JOIN c USING (event_type)""")
-def hist_sliding(spark, sf_dir):
-    return histogram.histogram(_events(spark, sf_dir), histogram.Sliding(100, DAY, ASOF), ["event_type"]).select("event_type", "count", *_stats_cols())
-
-
-@query(f"""WITH e AS (SELECT l_returnflag, l_linestatus, l_extendedprice AS value, l_orderkey * 10 + l_linenumber AS s FROM lineitem),
-r AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag, l_linestatus ORDER BY md5('3:' || s), s) AS n FROM e),
-h AS (SELECT l_returnflag, l_linestatus, list(value ORDER BY value) AS v FROM r WHERE n <= 1024 GROUP BY 1, 2), c AS (SELECT l_returnflag, l_linestatus, count(*) AS count FROM lineitem GROUP BY 1, 2)
-SELECT l_returnflag, l_linestatus, count, {_STATS} FROM h JOIN c USING (l_returnflag, l_linestatus)""")
-def hist_uniform(spark, sf_dir):
-    li = _read(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", F.col("l_extendedprice").alias("value"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
-    keys = ["l_returnflag", "l_linestatus"]
-    return histogram.histogram(li, histogram.Uniform(1024, seed=3), keys).select(*keys, "count", *_stats_cols())
-
-
-_SORTED = "s AS (SELECT event_type, list(value ORDER BY value) AS v, count(*) AS n FROM events GROUP BY 1)"
-
-
-def _q6(q: str, v: str = "v", n: str = "n") -> str:
-    p = f"({q} * ({n} + 1))"
-    i = f"floor({p})::BIGINT"
-    return f"CASE WHEN {n} = 0 THEN 0 WHEN {i} < 1 THEN {v}[1] WHEN {i} >= {n} THEN {v}[{n}] ELSE {v}[{i}] + ({p} - {i}) * ({v}[{i} + 1] - {v}[{i}]) END"
-
-
-@query(f"WITH {_SORTED} SELECT event_type, q AS quantile, round({_q6('q')}, 6) AS value FROM s, (VALUES (0.5::DOUBLE), (0.9::DOUBLE), (0.99::DOUBLE)) t(q)")
-def quantiles_type6(spark, sf_dir):
-    v = histogram.sorted_values(_events(spark, sf_dir), ["event_type"])
-    return v.select("event_type", F.inline(stats.quantiles(F.col("values"), (0.99, 0.5, 0.9, 0.5)))).withColumn("value", F.round("value", 6))
-
-
-@query(f"""WITH {_SORTED}, p AS (SELECT event_type, v, n, i, i * (1.0::DOUBLE / least(10, n - 1)) AS q FROM s, generate_series(1, 9) g(i) WHERE n > 1)
-SELECT event_type, round(100 * q, 6) AS key, round({_q6('q')}, 6) AS value FROM p WHERE floor(q * (n + 1)) < n AND q <= 1""")
-def sample_quantiles(spark, sf_dir):
-    v = histogram.sorted_values(_events(spark, sf_dir), ["event_type"])
-    return v.select("event_type", F.inline(stats.sample(F.col("values"), 9))).select("event_type", F.round("key", 6).alias("key"), F.round("value", 6).alias("value"))
-
-
-@query("""SELECT l_returnflag, l_linestatus, count(*) AS count, round(avg(l_quantity), 6) AS mean, min(l_quantity) AS least, max(l_quantity) AS greatest FROM lineitem GROUP BY 1, 2""")
-def hist_mean_min_max(spark, sf_dir):
-    li = _read(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus")
-    return li.agg(F.count("*").alias("count"), F.round(F.avg("l_quantity"), 6).alias("mean"), F.min("l_quantity").alias("least"), F.max("l_quantity").alias("greatest"))
-
-
-@query(f"""WITH r AS (SELECT event_type, user_id % 3 AS g, value, row_number() OVER (PARTITION BY event_type, user_id % 3 ORDER BY ts DESC, event_id DESC) AS n FROM events),
-h AS (SELECT event_type, list(value ORDER BY value) AS v FROM r WHERE n <= 50 GROUP BY 1), c AS (SELECT event_type, count(*) AS count FROM events GROUP BY 1)
-SELECT event_type, count, {_STATS}, round({_q6('0.5::DOUBLE', 'v', 'len(v)')}, 6) AS median FROM h JOIN c USING (event_type)""")
-def hist_merge_union(spark, sf_dir):
-    h = histogram.histogram(_metric_events(spark, sf_dir, "histogram"), histogram.LastN(50))
-    return rollup.histograms(h).select(_type(), "count", *_stats_cols(), F.round(stats.quantile(F.col("values"), 0.5), 6).alias("median"))
-
-
-@query("""WITH d AS (SELECT lang, list(n_chars::DOUBLE ORDER BY n_chars) AS v, count(*) AS n FROM documents GROUP BY 1)
-SELECT lang, n AS count, """ + f"round({_q6('0.5::DOUBLE')}, 6) AS p50, round({_q6('0.99::DOUBLE')}, 6) AS p99 FROM d")
-def document_sizes(spark, sf_dir):
-    v = histogram.sorted_values(_read(spark, sf_dir, "documents").select("lang", "n_chars"), ["lang"], "n_chars")
-    return v.select("lang", F.size("values").cast("long").alias("count"), F.round(stats.quantile(F.col("values"), 0.5), 6).alias("p50"), F.round(stats.quantile(F.col("values"), 0.99), 6).alias("p99"))
-
-
-# Timers
-
-_GAPS = "g AS (SELECT user_id, event_type, event_id, epoch_us(ts) AS t, lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) - epoch_us(ts) AS d FROM events)"
-
-
-@query(f"""WITH {_GAPS}, s AS (SELECT user_id, list(d::DOUBLE ORDER BY d) AS v, count(*) AS n, sum(d) AS total FROM g WHERE d != 0 GROUP BY 1)
-SELECT user_id, n AS count, round(total / n, 3) AS mean, round({_q6('0.9::DOUBLE')}, 3) AS p90 FROM s""")
-def timer_user_gaps(spark, sf_dir):
-    g = basic.gaps(_events(spark, sf_dir), ["user_id"], "ts", ["ts", "seq"]).where("duration != 0")
-    h = histogram.histogram(g.withColumn("ts", F.lit(0)).withColumn("seq", F.lit(0)), histogram.LastN(1 << 30), ["user_id"], "duration")
-    return h.select("user_id", "count", F.round(stats.mean(F.col("values")), 3).alias("mean"), F.round(stats.quantile(F.col("values"), 0.9), 3).alias("p90"))
-
-
-@query("""WITH n AS (SELECT user_id, event_type, epoch_us(ts) AS t, lead(event_type) OVER w AS e2, lead(epoch_us(ts)) OVER w AS t2 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
-SELECT user_id, count(*) AS spans, sum(t2 - t)::BIGINT AS total_us FROM n WHERE event_type = 'click' AND e2 = 'purchase' AND t2 != t GROUP BY 1""")
-def timer_span_pairs(spark, sf_dir):
-    s = basic.span_durations(_events(spark, sf_dir), ["user_id"], "ts", ["ts", "seq"], F.col("event_type") == "click", F.col("event_type") == "purchase")
-    return s.where("duration != 0").groupBy("user_id").agg(F.count("*").alias("spans"), F.sum("duration").alias("total_us"))
-
-
-def _exclude_sql() -> str:
-    a = ewma.alpha(DAY, HOUR)
-    last = ASOF // HOUR - 1
-    return f"""WITH {_GAPS}, c AS (SELECT user_id, t, floor(t / {float(HOUR)})::BIGINT AS k FROM g WHERE d != 0 AND event_type != 'error'),
-b AS (SELECT user_id, k, count(*)::DOUBLE AS v FROM c GROUP BY 1, 2), m AS (SELECT user_id, count(*) AS count, round(count(*) / (({ASOF} - min(t)) / {float(HOUR)}), 6) AS mean FROM c GROUP BY 1)
-SELECT user_id, count, mean, rate FROM m JOIN (SELECT user_id, round(sum({a!r}::DOUBLE * pow({1 - a!r}::DOUBLE, {last} - k) * v) + pow({1 - a!r}::DOUBLE, {last + 1} - min(k)) * arg_min(v, k), 6) AS rate FROM b GROUP BY 1) USING (user_id)"""
-
-
-@query(_exclude_sql())
-def timer_exclude_errors(spark, sf_dir):
-    g = basic.gaps(_events(spark, sf_dir), ["user_id"], "ts", ["ts", "seq"], ["ts", "seq", "event_type"])
-    t = histogram.timer(g, [DAY], HOUR, ASOF, histogram.LastN(10), ["user_id"], "duration", failed=F.col("event_type") == "error")
-    return t.select("user_id", "count", F.round("mean", 6).alias("mean"), F.round(F.col("rates")[DAY], 6).alias("rate"))
-
-
-@query("""WITH d AS (SELECT o_orderpriority AS p, date_diff('day', o_orderdate, l_shipdate) AS d FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
-SELECT p AS priority, count(*) AS count, round(avg(d), 6) AS mean, min(d) AS least, max(d) AS greatest FROM d WHERE d != 0 GROUP BY 1""")
-def timer_ship_delay(spark, sf_dir):
-    o = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderpriority").alias("priority"), "o_orderdate")
-    d = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_shipdate").join(o, "l_orderkey").select("priority", F.datediff("l_shipdate", "o_orderdate").cast("long").alias("d")).where("d != 0")
-    return d.groupBy("priority").agg(F.count("*").alias("count"), F.round(F.avg("d"), 6).alias("mean"), F.min("d").alias("least"), F.max("d").alias("greatest"))
-
-
-# Registry
-
-
-@query("""WITH c AS (SELECT event_type AS name, user_id % 3 AS g, count(*) AS value FROM events GROUP BY 1, 2)
-SELECT 'events/' || name AS name, g::VARCHAR AS grp, value FROM c UNION ALL SELECT 'alias/clicks', '', value FROM c WHERE name = 'click' AND g = 0""")
-def alias_union(spark, sf_dir):
-    c = basic.counter(_metric_events(spark, sf_dir, value=F.lit(1)))
-    source = (F.col("path")[1] == "click") & (F.col("tags")["group"] == "0")
-    return registry.register_existing(c, source, ("alias", "clicks")).select(paths.render(F.col("path")).alias("name"), F.coalesce(F.col("tags")["group"], F.lit("")).alias("grp"), "value")
-
-
-@query("""WITH d AS (SELECT o_orderpriority AS path, CASE WHEN o_orderstatus = 'F' AND o_orderpriority LIKE '%E%' THEN 'meter' ELSE 'counter' END AS kind FROM orders)
-SELECT path, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds FROM d GROUP BY 1 HAVING count(DISTINCT kind) > 1""")
-def type_conflict_report(spark, sf_dir):
-    kind = F.when((F.col("o_orderstatus") == "F") & F.col("o_orderpriority").like("%E%"), "meter").otherwise("counter")
-    found = registry.type_conflicts(_read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("path"), kind.alias("kind")))
-    return found.select("path", F.array_join("kinds", ",").alias("kinds"))
-
-
-def _options(spark):
-    return registry.options_table(spark, registry.PublishOptions(scale=0.5), {("events", "click"): registry.PublishOptions(include_mean=False, quantiles=(0.75,)), ("events", "view"): registry.PublishOptions(scale=2.0)})
-
-
-_SCALE = "CASE event_type WHEN 'click' THEN NULL WHEN 'view' THEN 2.0::DOUBLE ELSE 0.5::DOUBLE END"
-
-
-@query(f"""SELECT DISTINCT event_type, {_SCALE} AS scale, event_type != 'click' AS include_mean, CASE WHEN event_type = 'click' THEN '0.75' ELSE '0.5,0.9,0.99' END AS quantiles FROM events""")
-def options_effective(spark, sf_dir):
-    p = _metric_events(spark, sf_dir).select("path").distinct()
-    return registry.effective_options(p, _options(spark)).select(_type(), "scale", "include_mean", F.array_join(F.transform("quantiles", lambda q: q.cast("string")), ",").alias("quantiles"))
-
-
-@query("""SELECT o_orderpriority AS name, '{"env":"test","status":"' || o_orderstatus || '"}' AS tags, count(*) AS value FROM orders GROUP BY 1, 2""")
-def default_tags(spark, sf_dir):
-    o = _read(spark, sf_dir, "orders")
-    m = measurements(o, paths.path(F.col("o_orderpriority")), micros(F.col("o_orderdate")), F.col("o_orderkey"), F.lit(1), {"status": F.col("o_orderstatus")}, default_tags={"env": "test", "status": "none"})
-    return m.groupBy("path", "tag_key").agg(F.count("*").alias("value")).select(F.col("path")[0].alias("name"), F.col("tag_key").alias("tags"), "value")
-
-
-@query("SELECT event_type, count(*) AS value FROM events WHERE event_type = 'click' GROUP BY 1")
-def point_visit(spark, sf_dir):
-    return _flat(rollup.cumulative(basic.visit(basic.counter(_metric_events(spark, sf_dir, value=F.lit(1))), path=("events", "click"))), "value")
-
-
-@query("""SELECT kind, count(*) AS series, round(sum(value), 4) AS total FROM (
-  SELECT 'counter' AS kind, count(*)::DOUBLE AS value FROM events GROUP BY event_type UNION ALL SELECT 'gauge', arg_max(value, (ts, event_id)) FROM events GROUP BY event_type) GROUP BY 1""")
-def kind_dispatch(spark, sf_dir):
-    e = _metric_events(spark, sf_dir)
-    made = lambda df, kind: df.select("path", F.lit(kind).alias("kind"), F.col("value").cast("double").alias("value"))
-    snapshots = made(basic.counter(e.withColumn("value", F.lit(1)), ["path"]), "counter").unionByName(made(basic.gauge(e, ["path"]), "gauge")).unionByName(made(basic.counter(e, ["path"]), "timer"))
-    return basic.visit(snapshots, ["counter", "gauge"]).groupBy("kind").agg(F.count("*").alias("series"), F.round(F.sum("value"), 4).alias("total"))
-
-
-# Values
-
-
-@query(f"SELECT event_type, round(CASE WHEN {_SCALE} IS NULL THEN sum(value) ELSE sum(value) * {_SCALE} END, 4) AS value FROM events GROUP BY event_type")
-def scale_projection(spark, sf_dir):
-    c = basic.counter(_metric_events(spark, sf_dir), ["path"], as_type="double")
-    return registry.effective_options(c, _options(spark)).select(_type(), F.round(values.scale(F.col("value"), F.col("scale")), 4).alias("value"))
-
-
-@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_discount = 0 THEN 0 ELSE round(l_quantity / l_discount, 6) END AS ratio, CASE WHEN l_linenumber - 1 = 0 THEN 0 ELSE l_orderkey // (l_linenumber - 1) END AS whole FROM lineitem")
-def safe_divide(spark, sf_dir):
-    ratio = F.round(values.divide(F.col("l_quantity"), F.col("l_discount")), 6)
-    return _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", ratio.alias("ratio"), values.int_divide(F.col("l_orderkey"), F.col("l_linenumber") - 1).alias("whole"))
-
-
-@query("""SELECT o_orderkey, round(o_totalprice)::BIGINT AS whole, coalesce(try_cast(o_orderpriority AS BIGINT), 0) AS parsed, printf('%.6f', round(o_totalprice, 2)) AS shown FROM orders""")
-def cast_rounding(spark, sf_dir):
-    o = _read(spark, sf_dir, "orders")
-    return o.select("o_orderkey", values.to_whole(F.col("o_totalprice")).alias("whole"), values.parse_whole(F.col("o_orderpriority")).alias("parsed"), values.show(F.round("o_totalprice", 2)).alias("shown"))
-
-
-@query("SELECT p_partkey, ~p_size::BIGINT AS inverted, -p_retailprice AS negated, CASE WHEN p_size < 25 THEN -1 WHEN p_size > 25 THEN 1 ELSE 0 END AS compared, p_brand || p_type AS joined FROM part")
-def bitwise_not(spark, sf_dir):
-    size = F.col("p_size").cast("long")
-    return _read(spark, sf_dir, "part").select("p_partkey", values.invert(size).alias("inverted"), values.negate(F.col("p_retailprice")).alias("negated"), values.compare(size, F.lit(25)).alias("compared"), values.text_add(F.col("p_brand"), F.col("p_type")).alias("joined"))
-
-
-@query("SELECT event_id, epoch_us(ts) // 60000000 AS minutes, epoch_us(ts) % 60000000 // 1000 AS millis FROM events")
-def period_arithmetic(spark, sf_dir):
-    e = _events(spark, sf_dir)
-    return e.select(F.col("seq").alias("event_id"), values.convert(F.col("ts"), "usec", "min").alias("minutes"), values.convert(F.col("ts") % values.Period.of(1, "min").us, "usec", "msec").alias("millis"))
-
-
-# Text
-
-
-@query("SELECT p_partkey, p_brand || '/' || p_type || '/' || 'size' AS path, 3 AS segments FROM part")
-def path_join(spark, sf_dir):
-    p = paths.join(paths.path(F.col("p_brand"), F.lit(""), F.col("p_type")), paths.path("size"))
-    return _read(spark, sf_dir, "part").select("p_partkey", paths.render(p).alias("path"), F.size(p).alias("segments"))
-
-
-@query("""SELECT p_partkey, CASE WHEN regexp_matches(p_size || p_name, '^[0-9]') THEN '_' ELSE '' END || regexp_replace(p_size || p_name, '[^A-Za-z0-9]', '_', 'g') || ':' || regexp_replace(p_type, '[^A-Za-z0-9]', '_', 'g') AS name FROM part""")
-def name_mangle(spark, sf_dir):
-    return _read(spark, sf_dir, "part").select("p_partkey", paths.metric_name(paths.path(F.concat(F.col("p_size").cast("string"), "p_name"), F.col("p_type"))).alias("name"))
-
-
-@query("""SELECT event_id, 'props="' || replace(props, '"', '\\"') || '",user_id="' || user_id || '"' AS labels FROM events""")
-def tag_escape(spark, sf_dir):
-    tags = F.create_map(F.lit("user-id"), F.col("user_id").cast("string"), F.lit("props"), F.col("props"))
-    return _events(spark, sf_dir).select(F.col("seq").alias("event_id"), paths.labels(tags).alias("labels"))
-
-
-@query("""WITH d AS (SELECT DISTINCT l_linenumber, (l_quantity * l_quantity * l_quantity * l_linenumber * 1000)::BIGINT * CASE WHEN l_linenumber % 2 = 0 THEN 1000 ELSE 1 END AS us FROM lineitem)
-SELECT us, CASE WHEN us >= 3600000000 THEN (us // 3600000000) || 'hr' WHEN us >= 60000000 THEN (us // 60000000) || 'min' WHEN us >= 1000000 THEN (us // 1000000) || 'sec' WHEN us >= 1000 THEN (us // 1000) || 'msec' ELSE us || 'usec' END AS label FROM (SELECT DISTINCT us FROM d)""")
-def window_label(spark, sf_dir):
-    q, n = F.col("l_quantity"), F.col("l_linenumber")
-    us = (q * q * q * n * 1000).cast("long") * F.when(n % 2 == 0, 1000).otherwise(1)
-    return _read(spark, sf_dir, "lineitem").select(us.alias("us")).distinct().select("us", paths.window_label(F.col("us")).alias("label"))
-
-
-@query("SELECT s_suppkey, 'Supplier' AS kind FROM supplier")
-def type_names(spark, sf_dir):
-    return _read(spark, sf_dir, "supplier").select("s_suppkey", paths.type_name(F.concat(F.lit("a::b::Supplier<c::"), F.col("s_name"), F.lit(">"))).alias("kind"))
-
-
-# Exposition
-
-
-def _shown(df: DataFrame) -> DataFrame:
-    return df.select(paths.render(F.col("path")).alias("path"), "line_no", "tag_text", "line")
-
-
-def _defaults(spark):
-    return registry.options_table(spark)
-
-
-def _prom_sql(kind: str, body: str, more: str = "") -> str:
-    return f"WITH {_ET}{more}, x AS ({body}) SELECT 'events/' || event_type AS path, line_no::INTEGER AS line_no, tag_text, line FROM x UNION ALL SELECT DISTINCT 'events/' || event_type, 0, '', '# TYPE events:' || event_type || ' {kind}' FROM events"
-
-
-_TAG = "'group=\"' || grp || '\"'"
-
-
-@query(_prom_sql("untyped", f"SELECT event_type, 1 AS line_no, {_TAG} AS tag_text, {_NAME} || '{{' || {_TAG} || '}} ' || count(*) AS line FROM e GROUP BY event_type, grp"))
-def prom_counter(spark, sf_dir):
-    c = basic.counter(_metric_events(spark, sf_dir, value=F.lit(1)))
-    return _shown(exposition.lines(c, _defaults(spark), "counter", "long"))
-
-
-@query(_prom_sql("gauge", f"SELECT event_type, 1 AS line_no, {_TAG} AS tag_text, {_NAME} || '{{' || {_TAG} || '}} ' || printf('%.6f', arg_max(value, (t, event_id))) AS line FROM e GROUP BY event_type, grp"))
-def prom_gauge(spark, sf_dir):
-    return _shown(exposition.lines(basic.gauge(_metric_events(spark, sf_dir, "gauge")), _defaults(spark), "gauge"))
-
-
-def _line(label: str, value: str) -> str:
-    return f"{_NAME} || '{{{label},' || {_TAG} || '}} ' || printf('%.6f', round({value}, 6))"
-
-
-def _prom_meter_sql() -> str:
-    each = " UNION ALL ".join(f"SELECT event_type, {n + 2} AS line_no, {_TAG} AS tag_text, {_line(f'window={chr(34)}{w // HOUR}hr{chr(34)}', 'rate')} AS line FROM (WITH {_ewma_sql(w, 'event_type, grp')} SELECT * FROM r)" for n, w in enumerate(WINDOWS))
-    mean = f"SELECT event_type, 1 AS line_no, {_TAG} AS tag_text, {_line('window=' + chr(34) + 'mean' + chr(34), f'sum(value) / (({ASOF} - min(t)) / {float(HOUR)})')} AS line FROM e GROUP BY event_type, grp"
-    return _prom_sql("gauge", f"{mean} UNION ALL {each}")
-
-
-@query(_prom_meter_sql())
-def prom_meter(spark, sf_dir):
-    m = _meters(spark, sf_dir).withColumn("mean", F.round("mean", 6)).withColumn("rates", F.transform_values("rates", lambda k, v: F.round(v, 6)))
-    return _shown(exposition.lines(m, _defaults(spark), "meter"))
-
-
-def _prom_histogram_sql() -> str:
-    h = ", rk AS (SELECT *, row_number() OVER (PARTITION BY event_type, grp ORDER BY t DESC, event_id DESC) AS rn FROM e), h AS (SELECT event_type, grp, list(round(value, 2) ORDER BY value) AS v, count(*) AS n FROM rk WHERE rn <= 100 GROUP BY 1, 2), c AS (SELECT event_type, grp, count(*) AS cnt FROM e GROUP BY 1, 2)"
-    parts = [f"SELECT event_type, 1 AS line_no, {_TAG} AS tag_text, {_NAME} || '_count{{' || {_TAG} || '}} ' || cnt AS line FROM c"]
-    parts += [f"SELECT event_type, {n + 3}, {_TAG}, {_line(f'quantile={chr(34)}{q}{chr(34)}', _q6(f'{q}::DOUBLE'))} FROM h" for n, q in enumerate((0.5, 0.9, 0.99))]
-    return _prom_sql("summary", " UNION ALL ".join(parts), h)
-
-
-@query(_prom_histogram_sql())
-def prom_histogram(spark, sf_dir):
-    e = _metric_events(spark, sf_dir, "histogram", F.round("value", 2))
-    shown = exposition.lines(histogram.histogram(e, histogram.LastN(100)), _defaults(spark), "histogram")
-    return _shown(shown.where("line_no != 2"))  # the mean's last digit depends on the order of summing
-
-
-@query(None)
-def prom_timer(spark, sf_dir):
-    g = basic.gaps(_events(spark, sf_dir), ["user_id"], "ts", ["ts", "seq"], ["ts", "seq", "event_type"])
-    d = measurements(g, paths.path("gap", F.col("event_type")), F.col("ts"), F.col("seq"), F.col("duration"), {"group": F.col("user_id") % 3}, "timer")
-    t = histogram.timer(d, WINDOWS, HOUR, ASOF, histogram.LastN(100))
-    return _shown(exposition.lines(t, _defaults(spark), "timer"))
-
-
-@query(f"""WITH {_ET}, {_GAPS}, d AS (SELECT event_type, user_id % 3 AS grp, t, event_id, d FROM g WHERE d != 0),
-rk AS (SELECT *, row_number() OVER (PARTITION BY event_type, grp ORDER BY t DESC, event_id DESC) AS rn FROM d), h AS (SELECT event_type, grp, list(d::DOUBLE ORDER BY d) AS v, count(*) AS n FROM rk WHERE rn <= 100 GROUP BY 1, 2)
-SELECT 'gap:' || event_type || '{{quantile="' || q || '",' || {_TAG} || '}} ' || floor({_q6('q::DOUBLE')})::BIGINT AS line FROM h, (VALUES ('0.5'), ('0.9'), ('0.99')) t(q)
-UNION ALL SELECT 'gap:' || event_type || '_count{{' || {_TAG} || '}} ' || count(*) FROM d GROUP BY event_type, grp
-UNION ALL SELECT DISTINCT '# HELP gap:' || event_type || ' gap/' || event_type || ' in microseconds' FROM d UNION ALL SELECT DISTINCT '# TYPE gap:' || event_type || ' summary' FROM d""".replace("{{", "{").replace("}}", "}"))
-def prom_timer_lines(spark, sf_dir):
-    shown = prom_timer(spark, sf_dir)
-    return shown.where(~F.col("line").contains(":rates{") & ~F.col("line").contains("_mean{")).select("line")
-
-
-# Streams
-
-
-@query("SELECT event_type, round(sum(value), 4) AS value, count(*) AS count FROM events GROUP BY 1")
-def stream_counters(spark, sf_dir):
-    df = live.counters(live.read_events(spark, f"{sf_dir}/events.parquet"), ["event_type"])
-    return live.run_to_end(df, f"stream_counters_{uuid.uuid4().hex[:8]}", "complete").withColumn("value", F.round("value", 4))
-
-
-@query("SELECT event_type, date_trunc('day', ts) AS day, round(sum(value), 4) AS value FROM events GROUP BY 1, 2")
-def stream_windows(spark, sf_dir):
-    df = live.windowed_counters(live.read_events(spark, f"{sf_dir}/events.parquet"), ["event_type"], "at", "1 day", "31 days")
-    out = live.run_to_end(df, f"stream_windows_{uuid.uuid4().hex[:8]}", "complete")
-    return out.select("event_type", F.col("window.start").cast("timestamp_ntz").alias("day"), F.round("value", 4).alias("value"))
-
-
-def _stream_sql() -> str:
-    a = ewma.alpha(DAY, HOUR)
-    return f"""WITH e AS (SELECT *, epoch_us(ts) AS t FROM events), b AS (SELECT event_type, floor(t / {float(HOUR)})::BIGINT AS k, sum(value) AS v FROM e GROUP BY 1, 2),
-l AS (SELECT event_type, max(k) - 1 AS n FROM b GROUP BY 1), m AS (SELECT event_type, sum(value) AS total, sum(value) / ((max(t) - min(t)) / {float(HOUR)}) AS mean FROM e GROUP BY 1),
-r AS (SELECT event_type, sum({a!r}::DOUBLE * pow({1 - a!r}::DOUBLE, n - k) * v) + pow({1 - a!r}::DOUBLE, any_value(n) - min(k) + 1) * arg_min(v, k) AS rate FROM b JOIN l USING (event_type) WHERE k <= n GROUP BY 1)
-SELECT event_type, round(rate, 6) AS rate, round(total, 4) AS total, round(mean, 6) AS mean FROM r JOIN m USING (event_type)"""
-
-
-@query(_stream_sql())
-def stream_meter(spark, sf_dir):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    df = live.meters(live.read_events(spark, f"{sf_dir}/events.parquet"), "event_type", [DAY], HOUR)
-    out = live.run_to_end(df, f"stream_meter_{uuid.uuid4().hex[:8]}", "update")
-    newest = out.groupBy("key").agg(F.max_by(F.struct("rate", "total", "mean"), F.col("last")).alias("m"))
-    return newest.select(F.col("key").alias("event_type"), F.round("m.rate", 6).alias("rate"), F.round("m.total", 4).alias("total"), F.round("m.mean", 6).alias("mean"))
+    return text_queries.prom_counter(spark, sf_dir)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from abc import ABC, abstractmethod
+from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
@@ -13,7 +14,9 @@ from ..functions.values import scale, show
 from ..operators.registry import effective_options
 
 #: How each kind is announced.
-TYPES = {"counter": "untyped", "gauge": "gauge", "ewma": "gauge", "meter": "gauge", "histogram": "summary", "timer": "summary"}
+TYPES = {
+    "counter": "untyped", "gauge": "gauge", "ewma": "gauge", "meter": "gauge", "histogram": "summary", "timer": "summary",
+}
 
 
 def _head(name: Column, tags: Column, suffix: str = "", label: Column | None = None, strict: bool = False) -> Column:
@@ -26,47 +29,72 @@ def _label(key: str, value: Column) -> Column:
     return F.concat(F.lit(f'{key}="'), value, F.lit('"'))
 
 
-def lines(snapshots: DataFrame, options: DataFrame, kind: str, value_type: str = "double", tick_ns: int = 1000, scale_count: bool = True, strict: bool = False) -> DataFrame:
+def _if(flag: str, each: Column) -> Column:
+    return F.when(F.col(flag), each).otherwise(F.array().cast("array<string>"))
+
+
+def lines(
+    snapshots: DataFrame, options: DataFrame, kind: str, value_type: str = "double", tick_ns: int = 1000,
+    scale_count: bool = True, strict: bool = False,
+) -> DataFrame:
     """(path, line_no, tag_text, line) of one kind; line_no 0 is the header of a path, once for all its tag sets.
 
     counter, gauge, ewma need value; meter mean and rates; histogram values and count; timer all of these, its durations
-    counting ticks of tick_ns. Paths without segments are passed over. Order lines by path, line_no, tag_text.
+    counting ticks of tick_ns. Paths without segments are passed over. Order lines by path, line_no, tag_text. The header
+    comes with the first tag set of its path, so the snapshots are computed once.
     """
     rows = effective_options(snapshots.where(F.size("path") > 0), options)
     name, tags, factor = metric_name(F.col("path")), F.col("tags"), F.col("scale")
-    head = lambda *a, **b: _head(name, tags, *a, strict=strict, **b)
-    number = lambda v, t="double": show(scale(v, factor), t)
-    count = lambda: F.when(factor.isNull() | F.lit(not scale_count), F.col("count").cast("string")).otherwise(show(F.col("count") * factor))
 
-    def whole(v: Column) -> Column:
-        return F.when(factor.isNull(), v.cast("string")).otherwise(show(v * factor))
+    def head(suffix: str = "", label: Column | None = None) -> Column:
+        return _head(name, tags, suffix, label, strict)
+
+    def number(v: Column, kind: str = "double") -> Column:
+        return show(scale(v, factor), kind)
+
+    def whole(v: Column, scaled: bool = True) -> Column:
+        return F.when(factor.isNull() | F.lit(not scaled), v.cast("string")).otherwise(show(v * factor))
 
     def windows(suffix: str) -> Column:
-        every = F.transform(F.array_sort(F.map_entries("rates")), lambda e: F.concat(head(suffix, label=_label("window", window_label(e["key"]))), number(e["value"])))
-        mean = F.when(F.col("include_mean"), F.array(F.concat(head(suffix, label=_label("window", F.lit("mean"))), number(F.col("mean"))))).otherwise(F.array().cast("array<string>"))
-        return F.concat(mean, every)
+        def one(e: Column) -> Column:
+            return F.concat(head(suffix, _label("window", window_label(e["key"]))), number(e["value"]))
+
+        mean = F.array(F.concat(head(suffix, _label("window", F.lit("mean"))), number(F.col("mean"))))
+        return F.concat(_if("include_mean", mean), F.transform(F.array_sort(F.map_entries("rates")), one))
 
     def quantiles(value) -> Column:
-        return F.transform(F.col("quantiles"), lambda q: F.concat(head(label=_label("quantile", number_label(q))), value(stats.quantile(F.col("values"), q))))
+        def one(q: Column) -> Column:
+            return F.concat(head(label=_label("quantile", number_label(q))), value(stats.quantile(F.col("values"), q)))
+
+        return F.transform("quantiles", one)
 
     if kind in ("counter", "gauge", "ewma"):
-        body = F.array(F.concat(head(), whole(F.col("value")) if value_type == "long" else number(F.col("value"), value_type)))
+        shown = whole(F.col("value")) if value_type == "long" else number(F.col("value"), value_type)
+        body = F.array(F.concat(head(), shown))
     elif kind == "meter":
         body = windows("")
     else:
         # Durations are told in whole microseconds.
         value = (lambda v: whole(F.floor(v * tick_ns / 1000).cast("long"))) if kind == "timer" else number
-        counts = F.when(F.col("include_count"), F.array(F.concat(head("_count"), count()))).otherwise(F.array().cast("array<string>"))
-        body = F.concat(counts, F.array(F.concat(head("_mean"), value(stats.mean(F.col("values"))))), quantiles(value))
+        counts = F.array(F.concat(head("_count"), whole(F.col("count"), scale_count)))
+        mean = F.array(F.concat(head("_mean"), value(stats.mean(F.col("values")))))
+        body = F.concat(_if("include_count", counts), mean, quantiles(value))
         if kind == "timer":
-            body = F.concat(body, F.when(F.col("include_rates"), windows(":rates")).otherwise(F.array().cast("array<string>")))
-    out = rows.select("path", labels(tags).alias("tag_text"), F.posexplode(body).alias("n", "line")).select("path", (F.col("n") + 1).alias("line_no"), "tag_text", "line")
+            body = F.concat(body, _if("include_rates", windows(":rates")))
     announce = [F.concat(F.lit("# TYPE "), name, F.lit(f" {TYPES[kind]}"))]
     if kind == "timer":
         announce = [F.concat(F.lit("# HELP "), name, F.lit(" "), render(F.col("path")), F.lit(" in microseconds")), *announce]
-    header = rows.select("path").distinct().select("path", F.posexplode(F.array(*announce)).alias("n", "line"))
-    header = header.select("path", (F.col("n") + 1 - len(announce)).alias("line_no"), F.lit("").alias("tag_text"), "line")
-    return header.unionByName(out)
+
+    def line(no: Column, tag_text: Column, text: Column) -> Column:
+        return F.struct(no.cast("int").alias("line_no"), tag_text.alias("tag_text"), text.alias("line"))
+
+    first = F.row_number().over(Window.partitionBy("path").orderBy("tag_text")) == 1
+    rows = rows.select("path", labels(tags).alias("tag_text"), body.alias("body"), F.array(*announce).alias("header"))
+    rows = rows.withColumn("first", first)
+    headed = F.transform("header", lambda x, i: line(i + 1 - len(announce), F.lit(""), x))
+    told = F.transform("body", lambda x, i: line(i + 1, F.col("tag_text"), x))
+    every = F.when(F.col("first"), F.concat(headed, told)).otherwise(told)
+    return rows.select("path", F.inline(every))
 
 
 class Publisher(ABC):
@@ -76,7 +104,7 @@ class Publisher(ABC):
         self.options = options
 
     @abstractmethod
-    def publish(self, snapshots: dict[str, DataFrame]) -> DataFrame: ...
+    def publish(self, snapshots: Mapping[str, DataFrame]) -> DataFrame: ...
 
 
 class TextPublisher(Publisher):
@@ -86,14 +114,16 @@ class TextPublisher(Publisher):
         super().__init__(options)
         self.how = how
 
-    def publish(self, snapshots: dict[str, DataFrame]) -> DataFrame:
+    def publish(self, snapshots: Mapping[str, DataFrame]) -> DataFrame:
         out = None
         for kind, df in snapshots.items():
-            made = lines(df, self.options, kind, value_type="long" if kind == "counter" else "double", **self.how)
+            whole = "long" if kind == "counter" and df.schema["value"].dataType.typeName() == "long" else "double"
+            made = lines(df, self.options, kind, value_type=whole, **self.how)
             out = made if out is None else out.unionByName(made)
         return out
 
-    def write(self, snapshots: dict[str, DataFrame], path: str) -> None:
+    def write(self, snapshots: Mapping[str, DataFrame], path: str) -> None:
         """Text files whose lines stand in order, range-partitioned by path."""
-        ordered = self.publish(snapshots).orderBy("path", F.when(F.col("line_no") <= 0, "").otherwise(F.col("tag_text")), "line_no")
+        no = F.col("line_no")
+        ordered = self.publish(snapshots).orderBy("path", F.when(no <= 0, "").otherwise(F.col("tag_text")), "line_no")
         ordered.select("line").write.mode("overwrite").text(path)

@@ -1,18 +1,28 @@
-"""Streaming forms: counters, EWMAs and meters over unbounded measurements, and publishing of each batch."""
+"""Streaming forms: counters, gauges, EWMAs, meters, histograms and spans over unbounded measurements, and publishing of
+each batch.
+
+What a trigger brings of one key is put into order of arrival in memory, so bound it where keys are hot: by
+maxFilesPerTrigger or maxBytesPerTrigger of the source. State that nothing arrives for goes after idle_ms, if given;
+such a stream also runs batches without data, so it ends only when it is stopped.
+"""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
-from ..operators.ewma import alpha
+from ..operators.ewma import Average, alpha
+from ..sources.sinks import checkpoint_path
+
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def counters(events: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
@@ -20,53 +30,81 @@ def counters(events: DataFrame, keys: Sequence[str], value: str = "value") -> Da
     return events.groupBy(*keys).agg(F.sum(value).alias("value"), F.count("*").alias("count"))
 
 
-def windowed_counters(events: DataFrame, keys: Sequence[str], ts: str, width: str, late: str, slide: str | None = None, value: str = "value") -> DataFrame:
-    """Sums by time window; the watermark bounds the state and what comes later is left out."""
+def gauges(
+    events: DataFrame, keys: Sequence[str], order: Sequence[str] = ("ts", "seq"), value: str = "value"
+) -> DataFrame:
+    """The value set last; write in update or complete mode."""
+    return events.groupBy(*keys).agg(F.max_by(value, F.struct(*order)).alias("value"))
+
+
+def windowed_counters(
+    events: DataFrame, keys: Sequence[str], ts: str, width: str, late: str, slide: str | None = None, value: str = "value"
+) -> DataFrame:
+    """Sums by time window; the watermark bounds the state and what comes later is left out. Write in append mode."""
     window = F.window(ts, width, slide) if slide else F.window(ts, width)
     return events.withWatermark(ts, late).groupBy(*keys, window.alias("window")).agg(F.sum(value).alias("value"))
 
 
-STATE = StructType([StructField("first", LongType()), StructField("bucket", LongType()), StructField("pending", DoubleType()), StructField("total", DoubleType()), StructField("rates", StringType()), StructField("last", LongType())])
-OUTPUT = StructType([StructField("key", StringType()), StructField("window_us", LongType()), StructField("rate", DoubleType()), StructField("total", DoubleType()), StructField("mean", DoubleType()), StructField("last", LongType())])
+class _Processor(StatefulProcessor):
+    """Keeps one value of a key's state; subclasses say what a batch, in order of arrival, makes of it."""
 
+    state_schema = ""
+    idle_ms: int | None = None
+    order: tuple[str, ...] = ("seq",)
 
-class MeterProcessor(StatefulProcessor):
-    """Per key: one rate for each window, on the grid of intervals, and the total. Rows that are older than the newest one
-    of their key seen in an earlier batch are dropped, whatever other keys have seen."""
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("state", self.state_schema, self.idle_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows)).sort_values(list(self.order))
+        before = self.state.get() if self.state.exists() else None
+        after, out = self.step(key[0], before, batch)
+        self.state.update(after)
+        yield out
+
+    def step(self, key, state: tuple | None, batch: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+        raise NotImplementedError
+
+    def close(self) -> None:
+        pass
+
+
+def _processed(rows: DataFrame, processor: _Processor, output: str, mode: str, idle_ms: int | None) -> DataFrame:
+    processor.idle_ms = idle_ms
+    time = "None" if idle_ms is None else "ProcessingTime"
+    return rows.groupBy("key").transformWithStateInPandas(processor, output, mode, time)
+
+
+def _rows(events: DataFrame, key: str, *columns: str) -> DataFrame:
+    return events.select(F.col(key).cast("string").alias("key"), *columns)
+
+
+class MeterProcessor(_Processor):
+    """Per key: one rate for each window, on the grid of intervals, and the total. In order of arrival; rows of an interval
+    before the one that is open are late and are dropped, whatever other keys have seen and wherever batches end."""
+
+    state_schema = "first long, bucket long, pending double, total double, rates string, last long"
 
     def __init__(self, windows: Sequence[int], interval: int):
         self.windows, self.interval = sorted(set(windows)), interval
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("meter", STATE)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["ts", "seq"])
-        if self.state.exists():
-            first, bucket, pending, total, rates, last = self.state.get()
-            values = [float(x) for x in rates.split(",")] if rates else None
-            batch = batch[batch["ts"] >= last]
-        else:
-            first, bucket, pending, total, values, last = None, None, 0.0, 0.0, None, None
-        sums = batch.groupby(batch["ts"] // self.interval)["value"].sum()
-        for k, v in sums.items():
-            k, v = int(k), float(v)
-            if bucket is not None and k != bucket:
-                values = self._closed(values, pending, k - bucket)
-                pending = 0.0
-            bucket = k
-            pending += v
-            total += v
-        if len(batch):
-            first = int(batch["ts"].iloc[0]) if first is None else first
-            last = int(batch["ts"].iloc[-1])
-        if first is None:
-            return
-        self.state.update((first, bucket, pending, total, ",".join(map(repr, values)) if values else "", last))
+    def step(self, key, state, batch):
+        first, bucket, pending, total, rates, last = state or (None, None, 0.0, 0.0, "", None)
+        values = [float(x) for x in rates.split(",")] if rates else None
+        for t, v in zip(batch["ts"].tolist(), batch["value"].tolist()):
+            k = t // self.interval
+            if bucket is not None and k < bucket:
+                continue
+            if bucket is not None and k > bucket:
+                values, pending = self._closed(values, pending, k - bucket), 0.0
+            bucket, pending, total = k, pending + v, total + v
+            first, last = t if first is None else min(first, t), t if last is None else max(last, t)
         units = (last - first) / self.interval
-        mean = total / units if units else total
         shown = values or [pending] * len(self.windows)
-        yield pd.DataFrame({"key": [key[0]] * len(shown), "window_us": self.windows, "rate": shown, "total": total, "mean": mean, "last": last})
+        out = {"key": [key] * len(shown), "window_us": self.windows, "rate": shown, "total": total}
+        out |= {"mean": total / units if units else total, "last": last}
+        out["seq"] = int(batch["seq"].iloc[-1])
+        return (first, bucket, pending, total, ",".join(map(repr, values or [])), last), pd.DataFrame(out)
 
     def _closed(self, values: list[float] | None, pending: float, intervals: int) -> list[float]:
         """The rates once the open interval is whole and further empty ones have gone by."""
@@ -77,106 +115,134 @@ class MeterProcessor(StatefulProcessor):
             out.append(r * math.pow(1 - a, intervals - 1))
         return out
 
-    def close(self) -> None:
-        pass
-
 
-def meters(events: DataFrame, key: str, windows: Sequence[int], interval: int) -> DataFrame:
-    """(key, window_us, rate, total, mean, last) whenever a key gets rows; events has key, ts (microseconds), seq, value.
+def meters(events: DataFrame, key: str, windows: Sequence[int], interval: int, idle_ms: int | None = None) -> DataFrame:
+    """(key, window_us, rate, total, mean, last, seq) whenever a key gets rows, up to the one that arrived as seq; events
+    has key, ts (microseconds), seq, value.
 
-    Needs a state store that knows several columns: spark.sql.streaming.stateStore.providerClass set to RocksDB's.
+    Like the other stateful ones it needs a state store that knows several columns; running() sets it.
     """
-    rows = events.select(F.col(key).cast("string").alias("key"), "ts", "seq", "value")
-    return rows.groupBy("key").transformWithStateInPandas(MeterProcessor(windows, interval), OUTPUT, "Update", "None")
+    output = "key string, window_us long, rate double, total double, mean double, last long, seq long"
+    rows = _rows(events, key, "ts", "seq", "value")
+    return _processed(rows, MeterProcessor(windows, interval), output, "Update", idle_ms)
 
 
-def gauges(events: DataFrame, keys: Sequence[str], order: Sequence[str] = ("ts", "seq"), value: str = "value") -> DataFrame:
-    """The value set last; write in update or complete mode."""
-    return events.groupBy(*keys).agg(F.max_by(value, F.struct(*order)).alias("value"))
+class EwmaProcessor(_Processor):
+    """Per key: the exact fold of ewma_replay(), in order of arrival; marks before the last tick are dropped."""
+
+    state_schema = "last long, rate double, pending double, ticked boolean"
 
+    def __init__(self, window: int, interval: int, start: int):
+        self.window, self.interval, self.start = window, interval, start
 
-HISTOGRAM_STATE = StructType([StructField("count", LongType()), StructField("ts", ArrayType(LongType())), StructField("seq", ArrayType(LongType())), StructField("value", ArrayType(DoubleType()))])
-HISTOGRAM_OUTPUT = StructType([StructField("key", StringType()), StructField("count", LongType()), StructField("values", ArrayType(DoubleType()))])
+    def step(self, key, state, batch):
+        average = Average(self.window, self.interval, *(state or (self.start, 0.0, 0.0, False)))
+        for t, v in zip(batch["ts"].tolist(), batch["value"].tolist()):
+            average.mark(t, v)
+        after = average.last, average.rate, average.pending, average.ticked
+        shown = Average(self.window, self.interval, *after).read(average.last)
+        return after, pd.DataFrame({"key": [key], "value": [shown], "seq": [int(batch["seq"].iloc[-1])]})
 
 
-class HistogramProcessor(StatefulProcessor):
+def ewmas(
+    events: DataFrame, key: str, window: int, interval: int, start: int, idle_ms: int | None = None
+) -> DataFrame:
+    """(key, value, seq) whenever a key gets rows: the rate as read at its last tick, up to the one that arrived as seq."""
+    rows = _rows(events, key, "ts", "seq", "value")
+    output = "key string, value double, seq long"
+    return _processed(rows, EwmaProcessor(window, interval, start), output, "Update", idle_ms)
+
+
+class HistogramProcessor(_Processor):
     """Per key: how many values there ever were, and the newest `size` of them."""
 
+    state_schema = "count long, ts array<long>, seq array<long>, value array<double>"
+    order = ("ts", "seq")
+
     def __init__(self, size: int):
         self.size = size
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("histogram", HISTOGRAM_STATE)
-
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        count, kept = 0, pd.DataFrame({"ts": [], "seq": [], "value": []})
-        if self.state.exists():
-            count, *columns = self.state.get()
-            kept = pd.DataFrame(dict(zip(("ts", "seq", "value"), map(list, columns))))
+        count, *columns = self.state.get() if self.state.exists() else (0, [], [], [])
+        kept = pd.DataFrame(dict(zip(("ts", "seq", "value"), map(list, columns))))
         for batch in rows:
             count += len(batch)
-            kept = pd.concat([kept, batch[["ts", "seq", "value"]]]).sort_values(["ts", "seq"]).tail(self.size)
-        self.state.update((int(count), [int(x) for x in kept["ts"]], [int(x) for x in kept["seq"]], [float(x) for x in kept["value"]]))
-        yield pd.DataFrame({"key": [key[0]], "count": [count], "values": [sorted(float(x) for x in kept["value"])]})
-
-    def close(self) -> None:
-        pass
-
+            kept = pd.concat([kept, batch[["ts", "seq", "value"]]]).sort_values(list(self.order)).tail(self.size)
+        whole = [int(x) for x in kept["ts"]], [int(x) for x in kept["seq"]]
+        values = [float(x) for x in kept["value"]]
+        self.state.update((int(count), *whole, values))
+        yield pd.DataFrame({"key": [key[0]], "count": [count], "values": [sorted(values)]})
 
-def histograms(events: DataFrame, key: str, size: int) -> DataFrame:
-    """(key, count, values) whenever a key gets rows; its state is bounded by size."""
-    rows = events.select(F.col(key).cast("string").alias("key"), "ts", "seq", "value")
-    return rows.groupBy("key").transformWithStateInPandas(HistogramProcessor(size), HISTOGRAM_OUTPUT, "Update", "None")
 
+def histograms(events: DataFrame, key: str, size: int, idle_ms: int | None = None) -> DataFrame:
+    """(key, count, values) whenever a key gets rows; its state, and what a task holds, is bounded by size."""
+    rows = _rows(events, key, "ts", "seq", "value")
+    return _processed(rows, HistogramProcessor(size), "key string, count long, values array<double>", "Update", idle_ms)
 
-SPAN_STATE = StructType([StructField("start", LongType())])
-SPAN_OUTPUT = StructType([StructField("key", StringType()), StructField("start", LongType()), StructField("duration", LongType())])
 
-
-class SpanProcessor(StatefulProcessor):
+class SpanProcessor(_Processor):
     """Per key: a `start` opens a span (again, if one is open), an `end` right after it closes it, anything else drops it."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("span", SPAN_STATE)
+    state_schema = "start long"
+    order = ("ts", "seq")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        begun = self.state.get()[0] if self.state.exists() else None
-        out = []
-        batch = pd.concat(list(rows)).sort_values(["ts", "seq"])
+    def step(self, key, state, batch):
+        begun, out = state[0] if state else None, []
         for ts, what in zip(batch["ts"].tolist(), batch["what"].tolist()):
             if what == "end" and begun is not None:
-                out.append((key[0], begun, ts - begun))
+                out.append((key, begun, ts - begun))
             begun = ts if what == "start" else None
-        self.state.update((begun,))
-        yield pd.DataFrame(out, columns=["key", "start", "duration"])
-
-    def close(self) -> None:
-        pass
+        return (begun,), pd.DataFrame(out, columns=["key", "start", "duration"])
 
 
-def spans(events: DataFrame, key: str) -> DataFrame:
+def spans(events: DataFrame, key: str, idle_ms: int | None = None) -> DataFrame:
     """(key, start, duration) of each closed span; events has key, ts, seq and what (start, end or another)."""
-    rows = events.select(F.col(key).cast("string").alias("key"), "ts", "seq", "what")
-    return rows.groupBy("key").transformWithStateInPandas(SpanProcessor(), SPAN_OUTPUT, "Append", "None")
+    rows = _rows(events, key, "ts", "seq", "what")
+    return _processed(rows, SpanProcessor(), "key string, start long, duration long", "Append", idle_ms)
 
 
-def publish_each(df: DataFrame, publish: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "update") -> StreamingQuery:
+def publish_each(
+    df: DataFrame, publish: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "update"
+) -> StreamingQuery:
     """Hands the changed rows of each batch to publish(rows, batch number)."""
-    return df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(publish).trigger(availableNow=True).start()
+    writer = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(publish)
+    return writer.trigger(availableNow=True).start()
 
 
-def read_events(spark, path: str) -> DataFrame:
+def read_events(spark: SparkSession, path: str, files_a_batch: int | None = None) -> DataFrame:
     """A stream of (event_type, user_id, ts in microseconds, seq, value, at) from the files at path."""
-    schema = spark.read.parquet(path).schema
-    rows = spark.readStream.schema(schema).parquet(f"{path}*")
-    return rows.select("event_type", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), F.col("event_id").alias("seq"), "value", F.col("ts").cast("timestamp").alias("at"))
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    if files_a_batch:
+        reader = reader.option("maxFilesPerTrigger", files_a_batch)
+    at = F.col("ts").cast("timestamp")
+    seq = F.col("event_id").alias("seq")
+    return reader.parquet(f"{path}*").select("event_type", "user_id", F.unix_micros(at).alias("ts"), seq, "value", at.alias("at"))
+
+
+def dealt(spark: SparkSession, path: str, part: F.Column, parts: int) -> str:
+    """A new folder with the rows of a table in `parts` files, one after the other: part n holds those where part is n."""
+    folder = checkpoint_path(spark, "dealt")
+    for n in range(parts):
+        spark.read.parquet(path).where(part == n).coalesce(1).write.mode("append").parquet(folder)
+    return folder
+
+
+@contextmanager
+def rocks(spark: SparkSession):
+    """The state store that stateful processors need, for the queries started inside; then the session's own again."""
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, _ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
 
 
 def run_to_end(df: DataFrame, name: str, mode: str) -> DataFrame:
     """Runs a stream over all there is and gives its result table, which the driver holds: for small results only."""
-    from ..sources.sinks import checkpoint_path
-
     spark = df.sparkSession
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint_path(spark, name)).trigger(availableNow=True).start()
-    query.awaitTermination()
+    with rocks(spark):
+        writer = df.writeStream.format("memory").queryName(name).outputMode(mode)
+        writer = writer.option("checkpointLocation", checkpoint_path(spark, name))
+        writer.trigger(availableNow=True).start().awaitTermination()
     return spark.table(name)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from meterstone.functions import paths, stats, values
 from meterstone.operators import basic, ewma, histogram, registry, rollup
 from meterstone.plans import exposition
+from meterstone.sources import events
 
 MARKS = "k string, ts long, seq long, value double"
 
@@ -197,6 +198,126 @@ def text(df):
     return [r["line"] for r in df.orderBy("path", "line_no", "tag_text").collect()]
 
 
+EVENTS = "path array<string>, tags map<string,string>, ts long, seq long, value double"
+
+
+def test_registry_snapshots(spark):
+    r = registry.MetricsRegistry(spark, {"env": "test"})
+    r.counter(["c"], {"a": 1}, initial=15)
+    r.counter(["c"], {"a": 1}, initial=99)  # the first one's value holds
+    r.counter(["c"], {"a": 2}, initial=7)
+    r.meter("m", [10, 5], 1)
+    r.histogram("h", "sliding", 3, 100)
+    r.timer("t", [10], 1, "last", 4)
+    r.gauge("g")
+    r.ewma("e", 10, 1)
+    r.functional_gauge("f", lambda: 4.5)
+    table = spark.createDataFrame([(923.005,)], "v double")
+    r.referential_gauge("r", table, F.col("v"), {"x": 1})
+    rows = [("c", 1, 5.0), ("c", 2, -2.0), ("t", 3, 10.0), ("t", 4, 0.0), ("zzz", 5, 1.0)]
+    e = spark.createDataFrame([([p], {"a": "1"} if p == "c" else {}, t, t, v) for p, t, v in rows], EVENTS)
+    s = r.snapshots(e, 10)
+    got = {(x["path"][0], x["tags"].get("a")): x["value"] for x in s["counter"].collect()}
+    assert got == {("c", "1"): 18, ("c", "2"): 7} and s["counter"].schema["value"].dataType.typeName() == "long"
+    assert {x["tags"]["env"] for x in s["counter"].collect()} == {"test"}
+    assert s["meter"].first()["rates"] == {5: 0.0, 10: 0.0} and s["histogram"].first()["count"] == 0
+    assert s["timer"].first()["values"] == [10.0] and s["timer"].first()["count"] == 1
+    assert {x["path"][0]: x["value"] for x in s["gauge"].collect()} == {"g": 0, "f": 4.5, "r": 923.005}
+    assert s["ewma"].first()["value"] == 0
+    up = r.aggregates(s)
+    assert up["counter"].first()["value"] == 25 and up["gauge"].count() == 3
+    two = table.unionByName(table)
+    r.referential_gauge("r2", two, F.col("v"))
+    with pytest.raises(Exception, match="(?i)more than one row|SCALAR_SUBQUERY"):
+        r.snapshots(e, 10)["gauge"].collect()
+
+
+def test_aliases_of_the_registry(spark):
+    r = registry.MetricsRegistry(spark)
+    r.counter("c", {"a": 1})
+    r.meter("m", [5])
+    assert not r.register_existing("x", "nothing") and not r.register_existing("x", "c", {"a": 2})
+    assert r.register_existing("c", "c", {"a": 1}, {"b": 1}) and not r.register_existing("c", "c", {"a": 1}, {"b": 1})
+    assert not r.register_existing("c", "c", {"a": 1}, {"a": 1})
+    with pytest.raises(registry.MetricTypeMismatch):
+        r.register_existing("m", "c", {"a": 1})
+    e = spark.createDataFrame([(["c"], {"a": "1"}, 1, 1, 4.0)], EVENTS)
+    assert sorted(x["value"] for x in r.snapshots(e, 5)["counter"].collect()) == [4, 4]
+    seen = []
+    r.visit(lambda p, d: seen.append(d.kind))
+    r.visit(lambda p, d: seen.append(p), "m")
+    r.visit(lambda p, d: seen.append(p), "nothing")
+    assert seen == ["counter", "meter", ("m",)]
+
+
+def test_alias_of_another_kind(spark):
+    s = spark.createDataFrame([(["a"], {}, "counter"), (["b"], {}, "meter")], "path array<string>, tags map<string,string>, kind string")
+    with pytest.raises(Exception, match="is a meter"):
+        registry.register_existing(s, F.col("path")[0] == "a", ["b"], {"x": "y"}).collect()
+
+
+def test_pull_sources(spark):
+    keys = spark.createDataFrame([(["a"],)], "path array<string>")
+    told = iter((1.0, 2.0))
+    assert [events.pulled(keys, lambda: next(told)).first()["value"] for _ in range(2)] == [1.0, 2.0]
+    none = spark.createDataFrame([], "v double")
+    assert events.pulled(keys, (none, F.col("v"))).first()["value"] is None
+
+
+def test_exact_quantiles_equal_those_of_an_array(spark):
+    rows = [("a", float(i % 7)) for i in range(40)] + [("b", 3.0)] + [("c", 1.0), ("c", 2.0)]
+    df = spark.createDataFrame(rows, "k string, value double")
+    qs = (0.0, 0.1, 0.5, 0.77, 0.99, 1.0)
+    arrays = histogram.sorted_values(df, ["k"])
+    want = {r["k"]: [x["value"] for x in r["q"]] for r in arrays.select("k", stats.quantiles(F.col("values"), qs).alias("q")).collect()}
+    got = stats.exact(df, ["k"], qs=qs).collect()
+    for r in got:
+        assert [x["value"] for x in r["quantiles"]] == pytest.approx(want[r["k"]])
+    assert {r["k"]: (r["count"], r["least"], r["greatest"]) for r in got}["a"] == (40, 0, 6)
+
+
+def test_merged_histograms_are_bounded(spark):
+    rows = [(["h"], {"t": str(k)}, [float(k * 100 + i) for i in range(50)], 50 * (1 + 9 * (k == 0))) for k in range(20)]
+    h = spark.createDataFrame(rows, "path array<string>, tags map<string,string>, values array<double>, count long")
+    whole, few = rollup.histograms(h).first(), rollup.histograms(h, most=200).first()
+    assert len(whole["values"]) == 1000 and len(few["values"]) == 200 and few["count"] == whole["count"]
+    assert sum(v < 100 for v in few["values"]) > 25  # ten times the weight; a tenth of them without it
+
+
+def test_merged_timers(spark):
+    rows = [(["t"], {"k": "1"}, [1.0, 3.0], 2, 4.0, {5: 1.0}), (["t"], {"k": "2"}, [2.0], 1, 2.0, {5: 3.0})]
+    schema = "path array<string>, tags map<string,string>, values array<double>, count long, mean double, rates map<long,double>"
+    t = rollup.timers(spark.createDataFrame(rows, schema)).first()
+    assert (t["values"], t["count"], t["mean"], t["samples"], t["rates"]) == ([1, 2, 3], 3, 3, 2, {5: 2})
+
+
+def test_typed_values(spark):
+    t, v = values.Typed, lambda x: spark.range(1).select(x.column.alias("x")).first()["x"]
+    a, b = t(F.lit(7), "int"), t(F.lit(2.5), "double")
+    assert v(a + b) == v(b + a) == 9.5 and v(a - b) == 4.5 and v(a * b) == 17.5 and v(a / b) == 2.8 and v(b / a) == 2.5 / 7
+    s, n = t(F.lit("12"), "string"), t(F.lit("x"), "string")
+    assert v(s + s) == "1212" and v(a + s) == 19 and v(s + a) == 19 and v(a + n) == 7 and math.isnan(v(b + n)) and v(s * s) == "12"
+    assert v(s - s) == "12-12" and v(-s) == "-12" and v(a / t(F.lit(0), "int")) == 0
+    tie = t(F.lit(3), "long") + t(F.lit(2.6).cast("float"), "float")  # of equal scores the left one decides
+    assert tie.kind == "long" and v(tie) == 6
+    assert (t(F.lit(5), "duration") + a).kind == "duration" and (t(F.lit(5), "duration") + b).kind == "double"
+
+
+def test_dispatch(spark):
+    t = spark.createDataFrame([("k", [1.0], 1, 2.0, {5: 3.0})], "k string, values array<double>, count long, mean double, rates map<long,double>")
+    got = basic.dispatch({"timer": t, "counter": t}, {"meter": lambda d: d.columns, "histogram": lambda d: d.columns}, ["k"])
+    assert got == [["k", "values", "count"], ["k", "mean", "rates"]]
+    assert basic.dispatch({"timer": t}, {"timer": lambda d: "whole", "value": lambda d: "half"}, ["k"]) == ["whole"]
+    assert basic.dispatch({"timer": t}, {"value": lambda d: d.first()["value"]}, ["k"]) == [2.0]
+    assert basic.dispatch({"histogram": t}, {"value": len}, ["k"]) == []
+
+
+def test_nested_type_names(spark):
+    names = {"ns<int>::counter<long>": "counter", "a::b<c::d<e>>::f": "f", "x": "x", "": "", "a::b<": "b", "g<h::i, j<k>>": "g"}
+    df = spark.createDataFrame([(k,) for k in names], "t string")
+    assert {r["t"]: r["n"] for r in df.select("t", paths.type_name(F.col("t")).alias("n")).collect()} == names
+
+
 def test_exposition(spark, tmp_path):
     opts = registry.options_table(spark)
     c = spark.createDataFrame([(['1MyCounter%#@#(@#:]["', "COUNTER"], {"tag_name2^$": 'tag_value"with quotes"', "x2": "123523"}, 1200100), ([], {}, 1)], "path array<string>, tags map<string,string>, value long")
