@@ -1,12 +1,19 @@
-"""Helpers that several operators of this subpackage share: shared storage, and connected components."""
+"""Helpers that several operators of this subpackage share: shared storage, column names, and connected components."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
+
+#: Edges of a node from which on its rows are joined without a shuffle, at least.
+HEAVY = 1000
+#: Such nodes at most: their minima are broadcast, some 24 bytes each.
+MOST_HEAVY = 50_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,24 +52,79 @@ def forget(df: DataFrame) -> None:
         place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def column(name: str) -> Column:
+    """A column by its whole name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def fresh(df: DataFrame, *wanted: str) -> list[str]:
+    """Names like the wanted ones that no column of df has, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        n, tried = 0, name
+        while tried.lower() in taken:
+            n += 1
+            tried = f"{name}_{n}"
+        taken.add(tried.lower())
+        out.append(tried)
+    return out
+
+
+def mapped(df: DataFrame, run: Callable, *more: StructField) -> DataFrame:
+    """df.mapInArrow(run) with df's columns and further ones, whatever the names; run sees the columns in their order."""
+    plain = [StructField(f"c{n}", f.dataType) for n, f in enumerate(df.schema.fields)]
+    out = df.toDF(*(f.name for f in plain)).mapInArrow(run, StructType([*plain, *more]))
+    return out.toDF(*df.columns, *(f.name for f in more))
+
+
+def without(df: DataFrame, lost: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """The rows of df, with its columns as they are, whose keys lost does not hold; nulls are equal to each other.
+
+    keys: a column of lost -> what df has for it. lost should have been written, so that its size is known: if small, Spark
+    broadcasts it and df's rows stay where they are; else both are shuffled by the keys.
+    """
+    own, theirs = fresh(df, *(f"own_{k}" for k in keys)), fresh(df, *(f"lost_{k}" for k in keys))
+    wide = df.select("*", *(c.alias(n) for n, c in zip(own, keys.values())))
+    renamed = lost.select(*(F.col(k).alias(n) for k, n in zip(keys, theirs)))
+    same = F.lit(True)
+    for a, b in zip(own, theirs):
+        same = same & F.col(a).eqNullSafe(F.col(b))
+    return wide.join(renamed, same, "left_anti").select(*(column(c) for c in df.columns))
+
+
+def _with_minimum(rows: DataFrame, node: str, least: DataFrame, edges: int) -> DataFrame:
+    """rows with m, the minimum of their node; least is (node, m, degree).
+
+    The minima of nodes with very many edges, of which there are at most MOST_HEAVY, are broadcast: their rows need no
+    shuffle, so no task gets all rows of a hub. The rows of the other nodes are joined by a shuffle.
+    """
+    bound = max(HEAVY, 2 * edges // MOST_HEAVY)
+    heavy = least.where(F.col("degree") > bound).select(node, F.col("m").alias("heavy_m"))
+    tagged = rows.join(F.broadcast(heavy), node, "left")
+    light = tagged.where("heavy_m IS NULL").drop("heavy_m").join(least.select(node, "m"), node)
+    return light.unionByName(tagged.where("heavy_m IS NOT NULL").withColumnRenamed("heavy_m", "m"))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) of every node that has an edge; root is the smallest node reachable.
 
     Alternates the large-star and small-star steps until the edges stay as they are. Every step is a pre-aggregated
-    minimum by node and an equi-join, so a hub with many edges is split by Spark's skew join; nothing reaches the driver
-    but a count and a checksum.
+    minimum by node and a join with it; nothing reaches the driver but a count and a checksum.
     """
     now = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
     now = written(now.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
     mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    degree = F.count("*").alias("degree")
     seen = mark(now)
     while seen[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
+        least = both.groupBy("u").agg(F.min("v").alias("m"), degree).select("u", F.least("u", "m").alias("m"), "degree")
+        large = _with_minimum(both.where("v > u"), "u", least, 2 * seen[0])
+        large = large.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
         large = large.unionByName(least.where("u > m").select("u", F.col("m").alias("v"))).distinct()
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lowest, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        lowest = large.groupBy("u").agg(F.min("v").alias("m"), degree)
+        small = _with_minimum(large, "u", lowest, 2 * seen[0])
+        small = small.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = written(small.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct(), "edges")
         mark_new = mark(new)
         forget(now)
