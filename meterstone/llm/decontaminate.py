@@ -1,15 +1,17 @@
 """Benchmark decontamination: CGK embedding, bit-sampling LSH over item-sized windows, exact edit verification.
 
-Texts are lower-cased words; a word is one letter of a large alphabet. The random-walk embedding copies the current letter
-at every step and moves on by a bit that depends on the step and the letter; two strings at a small edit distance fall
-back into step, so their embeddings are close in Hamming distance. A table samples a few coordinates of the embedding;
-windows that agree on them are candidates. Several walks with several samples each give the recall.
-
-An item of n words is looked for by windows of c words, c the largest power of two of which one that starts at a multiple
-of c / 2 lies in any n words. Documents are embedded at these starts only, items at every word. So few windows miss many
-items with scattered edits; therefore runs of GRAM words that a document and an item share, looked up at every word, vote
-for the place where the item would start, and places with enough votes are candidates too. Candidates are verified by
-the edit distance of the whole item to the best matching stretch of the document (Myers' bit-parallel algorithm).
+Texts are lower-cased words, a space apart. The random-walk embedding copies the current character at every step and moves
+on by a bit that depends on the step and the character; two strings at a small edit distance fall back into step, so their
+embeddings are close in Hamming distance. Over a window as long as an item a walk that has lost its step seldom finds it
+again, so it is set anew at every word: the embedding of a window is that of its words, one walk after the other. A sample
+takes a few coordinates of the walk of one word (which goes on into the next words); a word of the document and one of an
+item vote for the window where the item would start if they agree in any of several samples of several walks. Windows of
+which enough words vote are candidates, and are verified by the edit distance of the whole item to the best matching stretch
+of the document (Myers' bit-parallel algorithm).
+
+How many votes are asked for follows from the item's length: few enough that items at the similarity asked for are found with
+a chance of RECALL or more (tests measure it for edits of characters and of words), and more for longer items, whose words
+meet more often by chance. Items of fewer than LEAST_WORDS words, where one character decides, are looked up exactly.
 """
 
 from __future__ import annotations
@@ -18,19 +20,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from .shared import column, mapped
 
 SIMILARITY = 0.8
-WALKS, SAMPLES = 4, 5
-#: Items with fewer words can't be told from chance and are not looked for.
+#: What the votes asked for are tuned to.
+RECALL = 0.9
+WALKS, SAMPLES = 3, 5
+#: Steps that a sample of a word's walk reaches, and its coordinates: for items of fewer than SHORT words, and for others.
+NEAR, FAR = (24, 6), (32, 8)
+SHORT = 12
+STEPS = max(NEAR[0], FAR[0])
+#: Shorter items can't be told from chance with an edit; they are looked up as they are.
 LEAST_WORDS = 5
-#: Words of a run that votes, for items of up to SHORT words and for longer ones; so many words of an item ask for one vote.
-GRAM, SHORT, WORDS_A_VOTE = (2, 3), 8, 12
-#: Items that are sent with the tasks at once; more are searched for in further passes, block by block.
-BLOCK_ITEMS = 20_000
+#: One vote is asked for so many words of an item.
+WORDS_A_VOTE = 6
+#: Items, and words of items, that are sent with the tasks at once; more are searched for in further passes.
+BLOCK_ITEMS, BLOCK_WORDS = 20_000, 1 << 20
 #: Bytes of text embedded at once: bounds the memory of a task.
-AT_ONCE = 4 << 20
+AT_ONCE = 1 << 20
+
+#: Bytes beside a quarter of an item that its place may be out by.
+SLACK = 16
 
 _u64 = np.uint64
 
@@ -52,171 +65,225 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers
     if len(_powers[0]) < n:
         size, back = 1 << int(n).bit_length(), pow(_BASE, -1, 1 << 64)
-        _powers = tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, b, np.uint64)])) for b in (_BASE, back))
+        one = np.ones(1, np.uint64)
+        _powers = tuple(np.cumprod(np.concatenate([one, np.full(size, b, np.uint64)])) for b in (_BASE, back))
     return _powers
 
 
+def _alone(raw: np.ndarray) -> np.ndarray:
+    """Where a character of a script without spaces begins (kana, Han, Thai, Lao, Khmer): each is a word."""
+    lead = (raw >= 0xE3) & (raw <= 0xE9)
+    if (raw == 0xE0).any() or (raw == 0xE1).any() or (raw == 0xF0).any():
+        after = np.append(raw[1:], 0)
+        lead |= (raw == 0xE0) & (after >= 0xB8) & (after <= 0xBB)
+        lead |= (raw == 0xE1) & (after >= 0x9E) & (after <= 0x9F)
+        lead |= (raw == 0xF0) & (after >= 0xA0) & (after <= 0xB3)
+    return np.flatnonzero(lead)
+
+
 def words_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(begin, end, hash) of the words in lower-cased UTF-8: runs of letters and digits, all bytes beyond ASCII included."""
-    x = _LETTER[np.frombuffer(data, np.uint8)]
+    """(begin, end, hash) of the words in lower-cased UTF-8: runs of letters and digits, all bytes beyond ASCII included;
+    in scripts without spaces every character is a word."""
+    raw = np.frombuffer(data, np.uint8)
+    x = _LETTER[raw]
     inside = np.concatenate([[False], x != 0, [False]])
     begin = np.flatnonzero(~inside[:-1] & inside[1:])
     end = np.flatnonzero(inside[:-1] & ~inside[1:])
+    single = _alone(raw) if len(raw) and raw.max() >= 0xE0 else ()
+    if len(single):
+        after = single + np.where(raw[single] >= 0xF0, 4, 3)
+        cuts = np.concatenate([single, after])
+        cuts = cuts[(cuts > 0) & (cuts < len(raw))]
+        cuts = np.unique(cuts[inside[cuts] & inside[cuts + 1]])  # inside a run of letters
+        begin, end = np.sort(np.concatenate([begin, cuts])), np.sort(np.concatenate([end, cuts]))
+        keep = end > begin
+        begin, end = begin[keep], end[keep]
     up, down = _power_tables(len(x) + 1)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * up[: len(x)])])
     return begin, end, _mixed((total[end] - total[begin]) * down[begin])
 
 
-class Tables:
-    """The walks and samples of one window size, the same wherever the seed is the same."""
-
-    def __init__(self, size: int, walks: int = WALKS, samples: int = SAMPLES, seed: int = 7):
-        self.size, self.steps, self.coordinates = size, 2 * size, 5 if size <= 8 else 4
-        random = np.random.default_rng([seed, size])
-        self.moves = random.integers(0, 1 << 63, (walks, self.steps), np.uint64) * _u64(2) + _u64(1)
-        cuts = [self.steps * i // self.coordinates for i in range(self.coordinates + 1)]
-        self.at = np.stack([random.integers(a, max(b, a + 1), (walks, samples)) for a, b in zip(cuts, cuts[1:])], -1)
-        self.weights = random.integers(0, 1 << 63, (walks, samples, self.coordinates), np.uint64) * _u64(2) + _u64(1)
-
-    def keys(self, hashes: np.ndarray, starts: np.ndarray) -> Iterator[np.ndarray]:
-        """For each table the keys of the windows that start at the given words."""
-        for walk in range(len(self.moves)):
+class Plain:
+    """Several texts as words a space apart; nothing stands between characters that are words. Bytes of zero follow."""
+
+    def __init__(self, texts: list[bytes]):
+        data = b"\0".join(texts)
+        begin, end, self.hashes = words_of(data)
+        size = end - begin
+        gap = np.ones(len(begin), np.int64)
+        gap[1:] = begin[1:] > end[:-1]
+        after = np.cumsum(size + gap)  # of each word in self.text, which starts with a gap
+        self.start = after - size
+        self.text = np.full((int(after[-1]) if len(after) else 0) + STEPS + 1, 32, np.uint8)
+        place = np.repeat(self.start - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+        source = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(len(place))
+        self.text[place] = np.frombuffer(data, np.uint8)[source]
+        self.end = after
+        self.text[int(after[-1]) if len(after) else 0 :] = 0
+        offsets = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        self.first = np.searchsorted(begin, offsets)  # word of each text, and one more
+
+    def cut(self, low: int, high: int) -> str:
+        return self.text[max(low, 0) : high].tobytes().decode("utf-8", "ignore")
+
+
+class Walks:
+    """The walks, and the samples of some reach and number of coordinates, the same wherever the seed is the same."""
+
+    def __init__(self, reach: int, coordinates: int, walks: int = WALKS, samples: int = SAMPLES, seed: int = 7):
+        self.moves = np.random.default_rng(seed).integers(0, 2, (walks, STEPS, 256), np.int64)
+        random = np.random.default_rng([seed, reach, coordinates])
+        cuts = [reach * i // coordinates for i in range(coordinates + 1)]
+        self.at = np.stack([random.integers(a, b, (walks, samples)) for a, b in zip(cuts, cuts[1:])], -1)
+        self.weights = random.integers(0, 1 << 63, (walks, samples, coordinates, 256), np.uint64)
+
+    def keys(self, text: np.ndarray, starts: np.ndarray) -> Iterator[np.ndarray]:
+        """For each sample the keys of the words that start there."""
+        for walk, moves in enumerate(self.moves):
             uses: dict[int, list] = {}
-            for s in range(self.at.shape[1]):
-                for c, step in enumerate(self.at[walk, s].tolist()):
+            for s, steps in enumerate(self.at[walk].tolist()):
+                for c, step in enumerate(steps):
                     uses.setdefault(step, []).append((s, self.weights[walk, s, c]))
             place, sums = starts.copy(), [np.zeros(len(starts), np.uint64) for _ in range(self.at.shape[1])]
             for step in range(max(uses) + 1):
-                letter = hashes[place]
+                letter = text[place]
                 for s, weight in uses.get(step, ()):
-                    sums[s] += letter * weight
-                place += ((letter * self.moves[walk, step]) >> _u64(63)).astype(np.int64)
-            yield from (x ^ (x >> _u64(29)) for x in sums)
-
+                    sums[s] ^= weight[letter]
+                place += moves[step][letter]
+            yield from sums
 
-def _grams(hashes: np.ndarray, n: int) -> np.ndarray:
-    """A key for every n words in a row."""
-    size = max(0, len(hashes) - n + 1)
-    out = np.zeros(size, np.uint64)
-    for i in range(n):
-        out = _mixed(out * _u64(_BASE) + hashes[i : i + size])
-    return out
 
-
-class Votes:
-    """The runs of GRAM words of some items; finds where a text holds enough of one item's near each other."""
-
-    def __init__(self, some: list[tuple[int, np.ndarray]], gram: int):
-        self.gram = gram
-        keys = [_grams(h, gram) for _, h in some]
-        numbers, offsets = np.repeat([n for n, _ in some], [len(k) for k in keys]), np.concatenate([np.arange(len(k)) for k in keys])
-        keys = np.concatenate(keys)
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.numbers, self.offsets = keys[order], numbers[order], offsets[order]
-        bits = min(24, len(keys).bit_length() + 6)
-        self.drop, self.seen = _u64(64 - bits), np.zeros(1 << bits, bool)
-        self.seen[keys >> self.drop] = True
-
-    def places(self, hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """(item number, start, votes) as three rows; start is the place with the most votes of some near each other."""
-        keys = _grams(hashes, self.gram)
-        at = np.flatnonzero(self.seen[keys >> self.drop])
-        low, high = np.searchsorted(self.keys, keys[at], "left"), np.searchsorted(self.keys, keys[at], "right")
-        count = high - low
-        which = np.repeat(low - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
-        if not len(which):
-            return np.zeros((3, 0), np.int64)
-        pairs, votes = np.unique(np.stack([self.numbers[which], np.repeat(at, count) - self.offsets[which]]), axis=1, return_counts=True)
-        number, start = pairs
-        size = sizes[number]
-        out = []
-        for turn in range(2):  # places on either side of a border meet the other time
-            width = size // 4 + 2
-            near = (start + turn * (width // 2)) // width
-            order = np.lexsort((-votes, near, number))
-            first = np.ones(len(order), bool)
-            first[1:] = (number[order][1:] != number[order][:-1]) | (near[order][1:] != near[order][:-1])
-            total = np.add.reduceat(votes[order], np.flatnonzero(first))
-            best = order[first]
-            enough = total >= np.maximum(1, size[best] // WORDS_A_VOTE)
-            out.append(np.stack([number[best], start[best], total])[:, enough])
-        return np.concatenate(out, 1)
-
-
-def window_size(words: int) -> int:
-    """The largest power of two c with c + c / 2 - 1 <= words."""
-    c = 1
-    while 3 * c - 1 <= words:  # for 2 c
-        c *= 2
-    return c
-
-
-def _embedded(hashes: np.ndarray, size: int) -> np.ndarray:
-    """With letters after the end, so that walks stay inside."""
-    return np.concatenate([hashes, np.zeros(2 * size + 1, np.uint64)])
+def votes_asked(words: np.ndarray) -> np.ndarray:
+    return np.maximum(1, words // WORDS_A_VOTE)
 
 
 class ItemIndex:
-    """The keys of all windows of a block of items; looks up documents."""
+    """The samples of all words of a block of items; looks up documents."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.items, by_size, by_gram = [], {}, {}
+        self.items, exact, texts = [], {}, []
         for item_id, text in items:
-            data = (text or "").lower().encode()
-            begin, end, hashes = words_of(data)
+            data = _lower(text)
+            _, _, hashes = words_of(data)
             if len(hashes) >= LEAST_WORDS:
-                plain = b" ".join(data[a:b] for a, b in zip(begin.tolist(), end.tolist()))
-                by_size.setdefault(window_size(len(hashes)), []).append((len(self.items), hashes))
-                by_gram.setdefault(GRAM[len(hashes) > SHORT], []).append((len(self.items), hashes))
-                self.items.append((item_id, plain, len(hashes)))
-        self.votes = [Votes(some, gram) for gram, some in sorted(by_gram.items())]
+                texts.append(data)
+                self.items.append((item_id, "", len(hashes)))
+            elif len(hashes):
+                exact.setdefault(len(hashes), []).append((item_id, hashes))
+        plain = Plain(texts)
+        first, last = plain.first[:-1], plain.first[1:] - 1
+        for n, (item_id, _, words) in enumerate(self.items):
+            self.items[n] = item_id, plain.cut(int(plain.start[first[n]]), int(plain.end[last[n]])), words
         self.words = np.array([n for *_, n in self.items], np.int64)
-        self.sizes = []
-        for size, some in sorted(by_size.items()):
-            tables, made = Tables(size), None
-            for n, hashes in some:
-                starts = np.arange(len(hashes) - size + 1)
-                keys = np.stack(list(tables.keys(_embedded(hashes, size), starts)))
-                one = keys, np.full(len(starts), n), starts
-                made = one if made is None else [np.concatenate([a, b], -1) for a, b in zip(made, one)]
-            bits = min(22, made[0].shape[1].bit_length() + 6)  # one in 64 places or fewer is taken
-            index, drop = [], _u64(64 - bits)
-            for keys in made[0]:
-                order = np.argsort(keys, kind="stable")
-                seen = np.zeros(1 << bits, bool)
-                seen[keys >> drop] = True
-                index.append((seen, drop, keys[order], made[1][order], made[2][order]))
-            self.sizes.append((tables, index))
-
-    def candidates(self, hashes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(item number, word of the text where the item would start, votes)."""
-        found = []
-        for tables, index in self.sizes:
-            starts = np.arange(0, len(hashes), max(1, tables.size // 2))
-            for keys, (seen, drop, known, numbers, offsets) in zip(tables.keys(_embedded(hashes, tables.size), starts), index):
+        self.size = plain.end[last] - plain.start[first] if self.items else np.zeros(0, np.int64)
+        number = np.repeat(np.arange(len(self.items)), self.words)
+        offset = plain.start - plain.start[first][number] if self.items else number
+        self.parts = []  # (walks, an index for each sample)
+        for reach, some in ((NEAR, self.words[number] < SHORT), (FAR, self.words[number] >= SHORT)):
+            if some.any():
+                walks = Walks(*reach)
+                keys = walks.keys(plain.text, plain.start[some])
+                self.parts.append((walks, [self._filed(k, number[some], offset[some]) for k in keys]))
+        self.exact = []  # (words, keys in order, the items' ids)
+        for n, some in sorted(exact.items()):
+            keys = np.concatenate([self._runs(h, n) for _, h in some])
+            order = np.argsort(keys, kind="stable")
+            self.exact.append((n, keys[order], [some[i][0] for i in order.tolist()]))
+
+    @staticmethod
+    def _filed(keys: np.ndarray, number: np.ndarray, offset: np.ndarray) -> tuple:
+        """A filter by the leading bits, and the keys in order with their items and offsets."""
+        order = np.argsort(keys, kind="stable")
+        bits = min(24, len(keys).bit_length() + 6)
+        drop = _u64(63 - bits)
+        seen = np.zeros(1 << bits, bool)
+        seen[keys >> drop] = True
+        return seen, drop, keys[order], number[order].astype(np.int32), offset[order].astype(np.int32)
+
+    @staticmethod
+    def _runs(hashes: np.ndarray, n: int) -> np.ndarray:
+        """A key for every n words in a row."""
+        size = max(0, len(hashes) - n + 1)
+        out = np.zeros(size, np.uint64)
+        for i in range(n):
+            out = _mixed(out * _u64(_BASE) + hashes[i : i + size])
+        return out
+
+    def candidates(self, plain: Plain) -> np.ndarray:
+        """(item number, byte of the text where the item would start, votes) as three rows."""
+        number, start, word = [], [], []
+        for walks, filed in self.parts:
+            for keys, (seen, drop, known, numbers, offsets) in zip(walks.keys(plain.text, plain.start), filed):
                 at = np.flatnonzero(seen[keys >> drop])
                 low, high = np.searchsorted(known, keys[at], "left"), np.searchsorted(known, keys[at], "right")
                 count = high - low
-                at, low, count = at[count > 0], low[count > 0], count[count > 0]
-                if len(at):
-                    which = np.repeat(low - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
-                    found.append(np.stack([numbers[which], np.repeat(starts[at], count) - offsets[which]]))
-        if found:
-            pairs, votes = np.unique(np.concatenate(found, 1), axis=1, return_counts=True)
-            yield pairs[0], pairs[1], votes
-        for some in self.votes:
-            places = some.places(hashes, self.words)
-            if places.shape[1]:
-                yield places[0], places[1], places[2]
-
-
-def best_distance(pattern: bytes, text: bytes) -> int:
+                which = np.repeat(low - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+                own = np.repeat(at, count)
+                number.append(numbers[which].astype(np.int64))
+                start.append(plain.start[own] - offsets[which])
+                word.append(own)
+        if not sum(map(len, number)):
+            return np.zeros((3, 0), np.int64)
+        number, start, word = (np.concatenate(x) for x in (number, start, word))
+        out = []
+        for turn in range(2):  # places on either side of a border meet the other time
+            width = self.size[number] // 4 + SLACK
+            near = (start + turn * (width // 2)) // width
+            order = np.lexsort((word, near, number))
+            n, b, w, s = number[order], near[order], word[order], start[order]
+            new = np.ones(len(n), bool)
+            new[1:] = (n[1:] != n[:-1]) | (b[1:] != b[:-1])
+            another = new.copy()
+            another[1:] |= w[1:] != w[:-1]
+            group = np.flatnonzero(new)
+            votes = np.add.reduceat(another.astype(np.int64), group)
+            middle = s[(group + np.append(group[1:], len(n))) // 2]
+            enough = votes >= votes_asked(self.words[n[group]])
+            out.append(np.stack([n[group], middle, votes])[:, enough])
+        return np.concatenate(out, 1)
+
+    def search(self, ids: list, texts: list[bytes], similarity: float) -> Iterator[tuple]:
+        """RESULT's rows of some lower-cased texts."""
+        plain = Plain(texts)
+        if not len(plain.hashes):
+            return
+        numbers, starts, votes = self.candidates(plain)
+        # the document is the one that holds the middle of where the item would lie
+        middle = np.clip(starts + self.size[numbers] // 2, 0, len(plain.text)) if len(numbers) else starts
+        docs = np.searchsorted(plain.first, np.searchsorted(plain.start, middle, "right") - 1, "right") - 1
+        tried: dict[tuple[int, int], tuple] = {}
+        for k in np.argsort(-votes, kind="stable").tolist():
+            doc, n, start = max(0, int(docs[k])), int(numbers[k]), int(starts[k])
+            got = tried.get((doc, n))
+            if got and (got[0] == 0 or any(abs(start - s) <= 4 for s in got[1])):
+                continue
+            slack = int(self.size[n]) // 4 + SLACK
+            begin, end = plain.start[plain.first[doc]], plain.end[plain.first[doc + 1] - 1]
+            low, high = max(start - slack, int(begin)), min(start + int(self.size[n]) + slack, int(end))
+            d = best_distance(self.items[n][1], plain.cut(low, high))
+            tried[doc, n] = (min(d, got[0]) if got else d, [*(got[1] if got else ()), start])
+        for (doc, n), (d, _) in tried.items():
+            near = 1 - d / len(self.items[n][1])
+            if near >= similarity:
+                yield ids[doc], self.items[n][0], d, near
+        for n, known, items in self.exact:
+            keys, hits = self._runs(plain.hashes, n), set()
+            for i in np.flatnonzero(np.isin(keys, known)).tolist():
+                doc = int(np.searchsorted(plain.first, i, "right")) - 1
+                if i + n <= plain.first[doc + 1]:
+                    low, high = np.searchsorted(known, keys[i], "left"), np.searchsorted(known, keys[i], "right")
+                    hits.update((doc, j) for j in range(int(low), int(high)))
+            for doc, j in sorted(hits):
+                yield ids[doc], items[j], 0, 1.0
+
+
+def best_distance(pattern: str | bytes, text: str | bytes) -> int:
     """The least edit distance of pattern to any stretch of text."""
     if pattern in text:
         return 0
     m = len(pattern)
     top, full = 1 << (m - 1), (1 << m) - 1
-    where: dict[int, int] = {}
+    where: dict = {}
     for i, c in enumerate(pattern):
         where[c] = where.get(c, 0) | 1 << i
     plus, minus, score = full, 0, m
@@ -241,103 +308,102 @@ def best_distance(pattern: bytes, text: bytes) -> int:
 
 
 RESULT = "doc_id long, item_id long, edit_distance long, similarity double"
+_NAMES = [c.split()[0] for c in RESULT.split(", ")]
+_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.float64()]
 
 
-def _search(index: ItemIndex, ids: list, texts: list[bytes], similarity: float) -> Iterator[tuple]:
-    data = b"\0".join(texts)
-    begin, end, hashes = words_of(data)
-    if not len(hashes):
-        return
-    offsets = np.cumsum([0, *(len(t) + 1 for t in texts)])
-    first_word = np.searchsorted(begin, offsets)  # of each document, and one more
-    tried: dict[tuple[int, int], tuple] = {}
-    for numbers, starts, votes in index.candidates(hashes):
-        # the document is the one that holds the middle of where the item would lie
-        middle = np.clip(starts + np.array([index.items[n][2] for n in numbers.tolist()]) // 2, 0, len(hashes) - 1)
-        docs = np.searchsorted(first_word, middle, "right") - 1
-        for k in np.argsort(-votes, kind="stable").tolist():
-            doc, n, start = int(docs[k]), int(numbers[k]), int(starts[k])
-            got = tried.get((doc, n))
-            if got and (got[0] == 0 or any(abs(start - s) <= 2 for s in got[1])):
-                continue
-            item_id, plain, size = index.items[n]
-            slack = size // 4 + 2
-            low, high = max(start - slack, int(first_word[doc])), min(start + size + slack, int(first_word[doc + 1]))
-            stretch = b" ".join(data[a:b] for a, b in zip(begin[low:high].tolist(), end[low:high].tolist()))
-            d = best_distance(plain, stretch)
-            tried[doc, n] = (min(d, got[0]) if got else d, [*(got[1] if got else ()), start])
-    for (doc, n), (d, _) in tried.items():
-        item_id, plain, _ = index.items[n]
-        if 1 - d / len(plain) >= similarity:
-            yield ids[doc], item_id, d, 1 - d / len(plain)
+def _lower(text: str | None) -> bytes:
+    return (text or "").lower().encode("utf-8", "replace")
 
 
-def _blocks(benchmark: DataFrame, size: int) -> Iterator[list[tuple]]:
-    block: list[tuple] = []
-    for row in benchmark.toLocalIterator():
-        block.append(tuple(row))
-        if len(block) == size:
+def _blocks(benchmark: DataFrame) -> Iterator[list[tuple]]:
+    block, words = [], 0
+    for item_id, text in benchmark.toLocalIterator():
+        block.append((item_id, text))
+        words += len(text or "") // 4 + 1
+        if len(block) >= BLOCK_ITEMS or words >= BLOCK_WORDS:
             yield block
-            block = []
+            block, words = [], 0
     if block:
         yield block
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_col: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
+_ready: dict[bytes, ItemIndex] = {}
+
+
+def _index_of(block: list[tuple], key: bytes) -> ItemIndex:
+    """Made once by each worker, which keeps the last one."""
+    if key not in _ready:
+        _ready.clear()
+        _ready[key] = ItemIndex(block)
+    return _ready[key]
+
+
+def _passes(benchmark: DataFrame, text: str) -> Iterator[tuple[list[tuple], bytes]]:
+    for block in _blocks(benchmark.select(column("item_id").cast("long"), column(text).cast("string"))):
+        yield block, xxhash.xxh3_128_digest(repr(block).encode("utf-8", "replace"))
+
+
+def _portions(texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+    """(first row, lower-cased texts) of some AT_ONCE bytes at a time."""
+    first, held, size = 0, [], 0
+    for n, t in enumerate(texts):
+        held.append(_lower(t.as_py()))
+        size += len(held[-1])
+        if size > AT_ONCE:
+            yield first, held
+            first, held, size = n + 1, [], 0
+    if held:
+        yield first, held
+
+
+def contaminated(
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", id_col: str = "doc_id", similarity: float = SIMILARITY
+) -> DataFrame:
     """(doc_id, item_id, edit_distance, similarity) of every document that holds an item, one row per row of docs and item.
 
-    similarity is 1 - distance / item length, in characters of the lower-cased words joined by spaces; the item may start
-    and end anywhere in the document. The benchmark is the query set: its items are searched for in blocks of BLOCK_ITEMS,
-    each in one pass over all documents, without a shuffle. Null and empty texts hold nothing; null ids and repeated rows
-    are searched like any other; empty tables give no rows; other columns are not read.
+    similarity is 1 - distance / item length, in characters of the lower-cased words a space apart; the item may start and
+    end anywhere in the document. Items of fewer than LEAST_WORDS words must stand there word by word. The benchmark is the
+    query set: its items are searched for in blocks of BLOCK_ITEMS (or BLOCK_WORDS words), each in one pass over all
+    documents, without a shuffle. Null and empty texts hold nothing, and null and empty items are nowhere; null ids and
+    repeated rows are searched like any other; empty tables give no rows; other columns are not read.
     """
-    rows = docs.select(F.col(id_col).cast("long"), F.lower(F.col(text).cast("string")))
+    rows = docs.select(column(id_col).cast("long"), column(text).cast("string"))
     out = None
-    for block in _blocks(benchmark.select(F.col("item_id").cast("long"), "text"), BLOCK_ITEMS):
+    for block, key in _passes(benchmark, "text"):
 
-        def run(batches, block=block):
-            index = ItemIndex(block)
+        def run(batches, block=block, key=key) -> Iterator[pa.RecordBatch]:
+            index = _index_of(block, key)
             for batch in batches:
-                done, ids, texts, held = [], [], [], 0
-                for doc_id, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    t = t.as_buffer()
-                    ids.append(doc_id)
-                    texts.append(t.to_pybytes() if t else b"")
-                    held += len(texts[-1])
-                    if held > AT_ONCE:
-                        done += _search(index, ids, texts, similarity)
-                        ids, texts, held = [], [], 0
-                done += _search(index, ids, texts, similarity)
+                ids, done = batch.column(0).to_pylist(), []
+                for first, texts in _portions(batch.column(1)):
+                    done += index.search(ids[first : first + len(texts)], texts, similarity)
                 if done:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), types)], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), _KINDS)], _NAMES)
 
         found = rows.mapInArrow(run, RESULT)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else docs.sparkSession.createDataFrame([], RESULT)
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of docs that hold no item, with all their columns; no shuffle and no join, so null and repeated ids are no
-    matter."""
+def without_contaminated(
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", similarity: float = SIMILARITY
+) -> DataFrame:
+    """The rows of docs that hold no item, by contaminated()'s rule, with all their columns, whatever their names.
+
+    No shuffle and no join: null and repeated ids are no matter, and null and empty texts stay. An empty benchmark keeps
+    all rows; an empty table gives no rows.
+    """
     place = docs.columns.index(text)
-    for block in _blocks(benchmark.select(F.col("item_id").cast("long"), "text"), BLOCK_ITEMS):
+    for block, key in _passes(benchmark, "text"):
 
-        def run(batches, block=block):
-            index = ItemIndex(block)
+        def run(batches, block=block, key=key) -> Iterator[pa.RecordBatch]:
+            index = _index_of(block, key)
             for batch in batches:
-                hit, held, first, texts = set(), 0, 0, []
-                for n, t in enumerate(batch.column(place)):
-                    texts.append((t.as_py() or "").lower().encode())
-                    held += len(texts[-1])
-                    if held > AT_ONCE:
-                        hit.update(r[0] for r in _search(index, list(range(first, n + 1)), texts, similarity))
-                        held, first, texts = 0, n + 1, []
-                hit.update(r[0] for r in _search(index, list(range(first, batch.num_rows)), texts, similarity))
+                hit = set()
+                for first, texts in _portions(batch.column(place)):
+                    hit.update(r[0] for r in index.search(list(range(first, first + len(texts))), texts, similarity))
                 yield batch.take(pa.array([n for n in range(batch.num_rows) if n not in hit], pa.int64()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = mapped(docs, run)
     return docs
-
-
-names = [c.split()[0] for c in RESULT.split(", ")]
-types = [pa.int64(), pa.int64(), pa.int64(), pa.float64()]
