@@ -1,18 +1,21 @@
 """Substring deduplication: paragraphs and passages that documents share, exactly or nearly.
 
-The pieces of a text are its lines of at least LEAST_WORDS words, the paragraphs that hard-wrapped lines make up, and chunks of CHUNK words that start at minimizers: words
-with the least hash of some SPAN consecutive ones. A chunk depends on its own surroundings only, so documents that share
-CHUNK + SPAN - 1 = 50 words in a row share a chunk, wherever the passage stands in its line. Chunks are seeds: each is
-extended left and right as far as its words equal those around the first occurrence, and the whole run is the passage.
-Pieces with the same words are one class (a 96-bit key). Lines are MinHashed over five-word shingles; the bands are tuned so that lines
-with a Jaccard similarity of 0.8 meet with a chance of at least RECALL. Lines that meet in a band are verified by the edit
-distance of their words, and what is linked becomes one class by connected components. Of each class that several
-documents hold, the first occurrence stays.
-
-In a band, members are compared with a hub, not with each other: after each round the hub goes, and so do members that
-matched it, unless the triangle inequality leaves room for a link between them and a member that did not. What is left of
-a band, once it is small, is worked off in one task with pivots by the same inequality. So no link is lost, and a dense
-group is done after a round.
+The pieces of a text are its lines of at least LEAST_WORDS words, the paragraphs that hard-wrapped lines make up, and chunks
+of CHUNK words that start at minimizers: words with the least hash of some SPAN consecutive ones. A chunk depends on its own
+surroundings only, so documents that share CHUNK + SPAN - 1 = 50 words in a row share a chunk, wherever the passage stands in
+its line. Chunks are seeds: each is extended left and right as far as its words equal those around the first occurrence, and
+the whole run is the passage. Pieces with the same words are one class (a 96-bit id).
+
+Lines are MinHashed over five-word shingles; the bands are tuned so that lines with a Jaccard similarity of SIMILARITY meet
+with a chance of at least RECALL. Lines that meet in a band are verified by the exact Jaccard similarity of their shingles,
+and what is linked becomes one class by connected components. Of each class that several documents hold, the first occurrence
+stays.
+
+Bands of up to MOST_MEMBERS lines are worked off in one task each. In a larger band, members are compared with a hub, not
+with each other, which any number of tasks share; the hub goes, and so do members that matched it, unless the triangle
+inequality (1 - similarity is a metric) leaves room for a link between them and a member that did not. What is left is banded
+anew by other hashes, at most LEVELS times, so that lines which met by a frequent shingle part again; then more and more hubs
+a round do the rest. No member is passed over.
 """
 
 from __future__ import annotations
@@ -21,11 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .decontaminate import words_of
-from .shared import components, forget, written
+from .shared import column, components, forget, fresh, written
 
 CHUNK, SPAN = 20, 31
 SHINGLE = 5
@@ -37,16 +41,14 @@ FILLED, MOST_WIDTH = 0.75, 120
 SIMILARITY = 0.8
 RECALL = 0.995
 #: Bytes of text cut up at once: bounds the memory of a task.
-AT_ONCE = 4 << 20
-#: Band rows a task remembers to leave out repeats, before it starts afresh.
-MOST_SEEN = 1 << 20
+AT_ONCE = 2 << 20
+#: Lines that a task remembers, so as to put out their bands once, before it starts afresh.
+MOST_SEEN = 1 << 18
 
-#: Members of a band that one task works off by itself; larger ones lose their hub, and what matched it, round by round.
-MOST_MEMBERS = 2048
-#: Hubs a round after the first one takes in such a band.
-HUBS = 16
+#: Members of a band that one task works off by itself, and how often what hubs leave of larger ones is banded anew.
+MOST_MEMBERS, LEVELS = 256, 3
 
-PIECES = "key long, check int, doc_id long, start long, n_chars long"
+PIECES = "id binary, doc_id long, start long, n_chars long"
 NAMES = [c.split()[0] for c in PIECES.split(", ")]
 _BASES = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
@@ -66,8 +68,11 @@ def tuned(similarity: float = SIMILARITY, recall: float = RECALL, most_hashes: i
 
 def _positional(hashes: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
     n, back = len(hashes) + 1, pow(base, -1, 1 << 64)
-    power = lambda b: np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, b, np.uint64)]))
-    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * power(base)[:-1])]), power(back)
+
+    def powers(b: int) -> np.ndarray:
+        return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, b, np.uint64)]))
+
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * powers(base)[:-1])]), powers(back)
 
 
 def minimizers(hashes: np.ndarray, document: np.ndarray) -> np.ndarray:
@@ -85,14 +90,32 @@ def minimizers(hashes: np.ndarray, document: np.ndarray) -> np.ndarray:
     return np.unique(least[document[:n] == document[SPAN - 1 :]] & low).astype(np.int64)
 
 
-def keys_of(words: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(key, check) of the words from first to last, the same wherever they stand."""
-    keys = []
-    for base in _BASES:
+def ids_of(words: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.Array:
+    """12 bytes for the words from first to last, the same wherever they stand."""
+    out = np.zeros(len(first), [("key", ">u8"), ("check", ">u4")])
+    for name, base in zip(("key", "check"), _BASES):
         total, back = _positional(words, base)
         x = (total[last] - total[first]) * back[first]
-        keys.append(x ^ (x >> np.uint64(32)))
-    return keys[0].view(np.int64), (keys[1] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        out[name] = x ^ (x >> np.uint64(32)) if name == "key" else x >> np.uint64(32)
+    plain = pa.Array.from_buffers(pa.binary(12), len(out), [None, pa.py_buffer(out.tobytes())])
+    return plain.cast(pa.binary())
+
+
+def band_values(grams: np.ndarray, begin: np.ndarray, bands: int, rows: int, seed: int) -> np.ndarray:
+    """The bands of several lines, as (line, band): grams holds their shingles' hashes one line after the other."""
+    random = np.random.default_rng([11, seed])
+    odd = lambda n: random.integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1)
+    turns, mixes = odd(bands * rows), odd(rows + 1)
+    out = np.zeros((len(begin), bands), np.uint64)
+    for b in range(bands if len(begin) else 0):
+        value = np.full(len(begin), np.uint64(b)) * mixes[rows]
+        for r in range(rows):
+            x = grams * turns[b * rows + r]
+            least = np.minimum.reduceat(x ^ (x >> np.uint64(32)), begin)
+            value = (value ^ (least ^ (least >> np.uint64(29)))) * mixes[r]
+            value ^= value >> np.uint64(32)
+        out[:, b] = value
+    return out.view(np.int64)
 
 
 class Pieces:
@@ -117,11 +140,11 @@ class Pieces:
         self.kind = np.repeat([0, 1], [int(keep.sum()), len(chunk)])
         self.begin, self.end = begin[self.first], end[self.last - 1]
         self.doc = np.searchsorted(self.offsets, self.begin, "right") - 1
-        self.key, self.check = keys_of(self.words, self.first, self.last)
+        self.ids = ids_of(self.words, self.first, self.last)
         of = self.offsets[self.doc]
         self.start, self.chars = ahead[self.begin] - ahead[of], ahead[self.end] - ahead[self.begin]
 
-    def _wrapped(self, lines: np.ndarray, first: np.ndarray, last: np.ndarray, ahead: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _wrapped(self, lines, first, last, ahead, begin, end) -> tuple[np.ndarray, np.ndarray]:
         """(first, last) word of each paragraph of several lines. One that is little more than one of its lines is left out:
         that line stands for it."""
         document = np.searchsorted(self.offsets, lines, "right") - 1
@@ -136,32 +159,18 @@ class Pieces:
         several = (high > low) & (most < SIMILARITY * (last[high] - first[low]))
         return first[low][several], last[high][several]
 
-    def bands(self, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
-        """(places of the lines among the pieces, their band values as (line, band))."""
-        line = np.flatnonzero(self.kind == 0)
+    def grams(self, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes of the shingles of some lines, one after the other, where each line begins)."""
         count = self.last[line] - self.first[line] - SHINGLE + 1
-        out = np.zeros((len(line), bands), np.uint64)
-        if not len(line):
-            return line, out.view(np.int64)
-        random = np.random.default_rng(11)
-        odd = lambda n: random.integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1)
-        weights, turns, mixes = odd(SHINGLE), odd(bands * rows), odd(rows + 1)
-        n = len(self.words) - SHINGLE + 1
-        shingles = sum(self.words[i : i + n] * w for i, w in enumerate(weights))
-        shingles = shingles ^ (shingles >> np.uint64(31))
         begin = np.cumsum(count) - count
-        shingles = shingles[np.repeat(self.first[line] - begin, count) + np.arange(int(count.sum()))]
-        for b in range(bands):
-            value = np.full(len(line), np.uint64(b)) * mixes[rows]
-            for r in range(rows):
-                least = np.minimum.reduceat(shingles * turns[b * rows + r], begin)
-                value = (value ^ (least ^ (least >> np.uint64(29)))) * mixes[r]
-                value ^= value >> np.uint64(32)
-            out[:, b] = value
-        return line, out.view(np.int64)
-
-
-def _chunks(batches, doc=0, text=1) -> Iterator[tuple[list, Pieces]]:
+        n = max(0, len(self.words) - SHINGLE + 1)
+        weights = np.random.default_rng(12).integers(0, 1 << 63, SHINGLE, np.uint64) * np.uint64(2) + np.uint64(1)
+        every = sum(self.words[i : i + n] * w for i, w in enumerate(weights))
+        every = every ^ (every >> np.uint64(31))
+        return every[np.repeat(self.first[line] - begin, count) + np.arange(int(count.sum()))], begin
+
+
+def _chunks(batches, doc: int = 0, text: int = 1) -> Iterator[tuple[list, Pieces]]:
     for b in batches:
         ids, texts, held = [], [], 0
         for doc_id, t in zip(b.column(doc).to_pylist(), b.column(text)):
@@ -176,152 +185,93 @@ def _chunks(batches, doc=0, text=1) -> Iterator[tuple[list, Pieces]]:
             yield ids, Pieces(texts)
 
 
-def pieces(rows: DataFrame) -> DataFrame:
-    """(key, check, doc_id, start, n_chars, kind) of all pieces of (doc_id, text); kind is 1 for chunks."""
-
-    def run(batches):
-        for ids, p in _chunks(batches):
-            docs = pa.array(ids, pa.int64()).take(pa.array(p.doc))
-            yield pa.RecordBatch.from_arrays([pa.array(p.key), pa.array(p.check), docs, pa.array(p.start), pa.array(p.chars), pa.array(p.kind.astype(np.int32))], [*NAMES, "kind"])
-
-    return rows.mapInArrow(run, f"{PIECES}, kind int")
-
-
-def band_rows(rows: DataFrame, bands: int, each: int) -> DataFrame:
-    """(band, key, size): the bands of all lines, with their number of words; repeats that one task meets are left out."""
-
-    def run(batches):
-        seen: set[int] = set()
-        for _, p in _chunks(batches):
-            line, values = p.bands(bands, each)
-            keys = p.key[line]
-            _, first = np.unique(keys, return_index=True)
-            new = np.array([i for i in first.tolist() if int(keys[i]) not in seen], np.int64)
+def pieces(rows: DataFrame, bands: int, each: int) -> DataFrame:
+    """PIECES and kind (1 for chunks) of all pieces of (doc_id, text); bands and grams of lines, the set of whose shingles is
+    grams (4 bytes each, ascending), where the task has not put them out before."""
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for doc_ids, p in _chunks(batches):
+            ids, new = p.ids.to_pylist(), []
+            for n in np.flatnonzero(p.kind == 0).tolist():
+                if ids[n] not in seen:
+                    seen.add(ids[n])
+                    new.append(n)
+            line = np.array(new, np.int64)
+            grams, begin = p.grams(line)
+            values = band_values(grams, begin, bands, each, 0)
+            ends = np.append(begin[1:], len(grams))
+            told, sets = [None] * len(ids), [None] * len(ids)
+            for n, v, a, b in zip(new, values.tolist(), begin.tolist(), ends.tolist()):
+                told[n], sets[n] = v, np.unique((grams[a:b] >> np.uint64(32)).astype(np.uint32)).tobytes()
+            docs = pa.array(doc_ids, pa.int64()).take(pa.array(p.doc))
+            columns = p.ids, docs, pa.array(p.start), pa.array(p.chars), pa.array(p.kind.astype(np.int32))
+            lists = pa.array(told, pa.list_(pa.int64())), pa.array(sets, pa.binary())
+            yield pa.RecordBatch.from_arrays([*columns, *lists], [*NAMES, "kind", "bands", "grams"])
             if len(seen) > MOST_SEEN:
                 seen.clear()
-            seen.update(keys[new].tolist())
-            size = (p.last - p.first)[line][new]
-            yield pa.RecordBatch.from_arrays([pa.array(values[new].ravel()), pa.array(np.repeat(keys[new], bands)), pa.array(np.repeat(size, bands).astype(np.int32))], ["band", "key", "size"])
 
-    return rows.mapInArrow(run, "band long, key long, size int")
+    return rows.mapInArrow(run, f"{PIECES}, kind int, bands array<long>, grams binary")
 
 
-def line_words(rows: DataFrame) -> DataFrame:
-    """(key, words): the words' hashes of every line, as bytes."""
+def shared_bands(members: DataFrame) -> DataFrame:
+    """(band, id), without repeats, of the bands that several ids share: one shuffle; a task holds one row at a time."""
 
-    def run(batches):
-        for _, p in _chunks(batches):
-            line = np.flatnonzero(p.kind == 0)
-            _, first = np.unique(p.key[line], return_index=True)
-            line = line[first]
-            words = [(p.words[a:b] >> np.uint64(32)).astype(np.uint32).tobytes() for a, b in zip(p.first[line].tolist(), p.last[line].tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(p.key[line]), pa.array(words, pa.binary())], ["key", "words"])
-
-    return rows.mapInArrow(run, "key long, words binary")
-
-
-def edit_distance(a: list, b: list) -> int:
-    """Levenshtein distance of two sequences (Myers' bit-parallel algorithm)."""
-    start = 0
-    while start < min(len(a), len(b)) and a[start] == b[start]:
-        start += 1
-    a, b = a[start:], b[start:]
-    while a and b and a[-1] == b[-1]:
-        a, b = a[:-1], b[:-1]
-    if not a or not b:
-        return len(a) or len(b)
-    m = len(a)
-    top, full, where = 1 << (m - 1), (1 << m) - 1, {}
-    for i, x in enumerate(a):
-        where[x] = where.get(x, 0) | 1 << i
-    plus, minus, score = full, 0, m
-    for x in b:
-        eq = where.get(x, 0)
-        vertical = eq | minus
-        zero = (((eq & plus) + plus) ^ plus) | eq | minus
-        h_plus, h_minus = (minus | ~(zero | plus)) & full, plus & zero
-        score += bool(h_plus & top) - bool(h_minus & top)
-        h_plus, h_minus = (h_plus << 1 | 1) & full, (h_minus << 1) & full
-        plus, minus = (h_minus | ~(vertical | h_plus)) & full, h_plus & vertical
-    return score
-
-
-def distances(pairs: DataFrame, words: DataFrame) -> DataFrame:
-    """pairs (key, hub) with the edit distance of their words."""
-
-    def run(batches):
-        for b in batches:
-            x, y = (c.to_pylist() for c in (b.column(2), b.column(3)))
-            d = [edit_distance(np.frombuffer(p, np.uint32).tolist(), np.frombuffer(q, np.uint32).tolist()) for p, q in zip(x, y)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(d, pa.int32())], ["key", "hub", "distance"])
-
-    both = pairs.join(words, "key").join(words.select(F.col("key").alias("hub"), F.col("words").alias("hub_words")), "hub")
-    return both.select("key", "hub", "words", "hub_words").mapInArrow(run, "key long, hub long, distance int")
-
-
-def shared_bands(rows: DataFrame, bands: int, each: int) -> DataFrame:
-    """(band, key, size), without repeats, of the bands that several keys share: one shuffle; a task holds one row at a time."""
-
-    def run(batches):
-        held = None  # the first row of a band, until a second key comes
-        last = None
-        for b in batches:
-            band, key, size = (c.to_numpy() for c in b.columns)
-            new = np.ones(len(band), bool)
-            new[1:] = (band[1:] != band[:-1]) | (key[1:] != key[:-1])
-            if last is not None and len(band):
-                new[0] = (band[0], key[0]) != last
-            if not len(band):
-                continue
-            last = band[-1], key[-1]
-            band, key, size = band[new], key[new], size[new]
-            if held is not None:
-                band, key, size = (np.concatenate([[h], x]).astype(x.dtype) for h, x in zip(held[:3], (band, key, size)))
-            if not len(band):
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        held = None  # (band, its first id, whether that has been put out), until another band comes
+        last = None  # the last row
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            alone = np.ones(len(band), bool)
-            same = band[1:] == band[:-1]
-            alone[1:][same] = False
-            alone[:-1][same] = False
-            if held is not None and held[3] == band[0]:  # its band has been put out before
-                alone[0] = True  # this row was
-                if len(band) > 1 and same[0]:
-                    alone[1] = False
-            tail = band[-1]
-            put = not alone[-1] or (held is not None and held[3] == tail)
-            out = ~alone
-            yield pa.RecordBatch.from_arrays([pa.array(band[out]), pa.array(key[out]), pa.array(size[out])], ["band", "key", "size"])
-            held = (band[-1], key[-1], size[-1], tail if put else None)
+            band, ids = batch.column(0).to_numpy(), batch.column(1)
+            new = np.ones(len(band), bool)
+            new[1:] = (band[1:] != band[:-1]) | pc.not_equal(ids[1:], ids[:-1]).to_numpy(zero_copy_only=False)
+            if last is not None:
+                new[0] = (int(band[0]), ids[0].as_py()) != last
+            last = int(band[-1]), ids[-1].as_py()
+            put_band, put_id = [], []
+            for b, i in zip(band[new].tolist(), ids.filter(pa.array(new)).to_pylist()):
+                if held is None or held[0] != b:
+                    held = b, i, False
+                    continue
+                if not held[2]:
+                    put_band.append(b)
+                    put_id.append(held[1])
+                    held = b, held[1], True
+                put_band.append(b)
+                put_id.append(i)
+            if put_band:
+                yield pa.RecordBatch.from_arrays([pa.array(put_band), pa.array(put_id, pa.binary())], ["band", "id"])
 
-    each_row = band_rows(rows, bands, each)
-    return each_row.repartition("band").sortWithinPartitions("band", "key").mapInArrow(run, "band long, key long, size int")
+    sorted_ = members.select("band", "id").repartition("band").sortWithinPartitions("band", "id")
+    return sorted_.mapInArrow(run, "band long, id binary")
 
 
-def _span(size, similarity: float):
-    """The largest distance of a link between sequences of which the longer has so many words."""
-    return (1 - similarity) * size + 1e-9
+def jaccard(a: frozenset, b: frozenset) -> float:
+    both = len(a & b)
+    return both / (len(a) + len(b) - both)
 
 
-def _spans(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
-    return _span(np.maximum(a, b), similarity)
+def _set(grams: bytes) -> frozenset:
+    return frozenset(np.frombuffer(grams, np.uint32).tolist())
 
 
-def group_edges(keys: np.ndarray, words: list, similarity: float) -> list[tuple[int, int]]:
+def group_edges(ids: list[bytes], sets: list[frozenset], similarity: float) -> list[tuple[bytes, bytes]]:
     """Edges that connect all pairs of a group within reach of each other.
 
     Members take turns as pivots. A pivot is compared with those that are not yet known to be connected with it, unless
     their distances to an earlier pivot differ by more than a link spans.
     """
-    n = len(keys)
-    size, root, edges = np.array([len(w) for w in words]), np.arange(n), []
+    n, span = len(ids), 1 - similarity + 1e-9
+    if n == 2:
+        return [(ids[0], ids[1])] if 1 - jaccard(*sets) <= span else []
+    size, root, edges = np.array([len(s) for s in sets]), np.arange(n), []
     pivots: list[np.ndarray] = []  # distances to earlier pivots; nan where not measured
     for u in range(n):
         others = np.flatnonzero(root != root[u])
-        others = others[(others > u) & (np.abs(size[others] - size[u]) <= _spans(size[others], size[u], similarity))] if len(others) else others
+        others = others[(others > u) & (1 - np.minimum(size[others], size[u]) / np.maximum(size[others], size[u]) <= span)]
         for p in pivots:
-            if len(others):
-                far = np.abs(p[others] - p[u]) > _spans(size[others], size[u], similarity)
-                others = others[~far]  # a nan is never far
+            others = others[~(np.abs(p[others] - p[u]) > span)]  # a nan is never far
         if not len(others):
             continue
         d = np.full(n, np.nan)
@@ -329,63 +279,116 @@ def group_edges(keys: np.ndarray, words: list, similarity: float) -> list[tuple[
         for v in others.tolist():
             if root[v] == root[u]:
                 continue
-            d[v] = edit_distance(words[u], words[v])
-            if d[v] <= _span(max(size[u], size[v]), similarity):
-                edges.append((int(keys[u]), int(keys[v])))
+            d[v] = 1 - jaccard(sets[u], sets[v])
+            if d[v] <= span:
+                edges.append((ids[u], ids[v]))
                 root[root == root[v]] = root[u]
         if len(pivots) < 8:
             pivots.append(d)
     return edges
 
 
-def small_group_edges(members: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
-    """Edges of bands of at most MOST_MEMBERS keys, each worked off in one task."""
+def _edge_table(edges: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    a, b = zip(*((max(e), min(e)) for e in edges)) if edges else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
 
-    def run(rows: pa.Table) -> pa.Table:
-        order = np.argsort(rows["key"].to_numpy())
-        found = [np.frombuffer(w, np.uint32).tolist() for w in rows["words"].take(pa.array(order)).to_pylist()]
-        edges = group_edges(rows["key"].to_numpy()[order], found, similarity)
-        a, b = zip(*edges) if edges else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+def small_group_edges(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Edges of bands of at most MOST_MEMBERS ids, each worked off by one task as its rows stream by."""
 
-    joined = members.select("band", "key").join(words, "key")
-    found = joined.groupBy("band").applyInArrow(run, "a long, b long")
-    return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        now, ids, held, out = None, [], [], []
+        for batch in batches:
+            for b, i, g in zip(*(c.to_pylist() for c in batch.columns)):
+                if b != now:
+                    out += group_edges(ids, held, similarity) if len(ids) > 1 else []
+                    now, ids, held = b, [], []
+                ids.append(i)
+                held.append(_set(g))
+            if out:
+                yield _edge_table(list(set(out)))
+                out = []
+        yield _edge_table(group_edges(ids, held, similarity) if len(ids) > 1 else [])
+
+    joined = members.join(sets, "id").select("band", "id", "grams").repartition("band").sortWithinPartitions("band", "id")
+    return joined.mapInArrow(run, "a binary, b binary").distinct()
+
+
+def distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (id, hub) with 1 - the Jaccard similarity of their shingles."""
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            d = [1 - jaccard(_set(x), _set(y)) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(d, pa.float64())], ["id", "hub", "distance"])
 
+    hubs = sets.select(F.col("id").alias("hub"), F.col("grams").alias("hub_grams"))
+    both = pairs.join(sets, "id").join(hubs, "hub")
+    return both.select("id", "hub", "grams", "hub_grams").mapInArrow(run, "id binary, hub binary, distance double")
 
-def near_edges(rows: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """Edges (a, b) that connect the keys of all verified pairs of lines that meet in a band."""
-    spark = rows.sparkSession
+
+def _banded_anew(members: DataFrame, sets: DataFrame, level: int, bands: int, each: int) -> DataFrame:
+    """(band, id): each band's members again, by the bands of another level inside it."""
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            parts = [np.frombuffer(g, np.uint32).astype(np.uint64) for g in b.column(2).to_pylist()]
+            begin = np.cumsum([0, *map(len, parts)])[:-1]
+            values = band_values(np.concatenate(parts), begin, bands, each, level)
+            mixed = values ^ (b.column(0).to_numpy() * 0x5851F42D4C957F2D)[:, None]
+            ids = b.column(1).take(pa.array(np.repeat(np.arange(len(parts)), bands)))
+            yield pa.RecordBatch.from_arrays([pa.array(mixed.ravel()), ids], ["band", "id"])
+
+    joined = members.join(sets, "id").select("band", "id", "grams")
+    return shared_bands(joined.mapInArrow(run, "band long, id binary"))
+
+
+def _hub_round(members: DataFrame, sets: DataFrame, hubs: int, span: float) -> tuple[DataFrame, DataFrame]:
+    """(edges, members left) after each band's members are compared with some of them."""
+    each = (F.min_by("id", F.xxhash64("id", F.lit(i))).alias(f"hub{i}") for i in range(hubs))
+    chosen = members.groupBy("band").agg(*each)
+    chosen = written(chosen.select("band", F.array_distinct(F.array(*chosen.columns[1:])).alias("hubs")), "hubs")
+    asked = members.join(chosen, "band").select("band", "id", F.explode("hubs").alias("hub"), "hubs")
+    asked = asked.select("band", "id", "hub", F.array_contains("hubs", F.col("id")).alias("is_hub")).where("id != hub")
+    seen = asked.join(distances(asked.select("id", "hub").distinct(), sets), ["id", "hub"])
+    seen = written(seen.withColumn("match", F.col("distance") <= span), "distances")
+    edges = seen.where("match").select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b")).distinct()
+    # How near the members that do not match come to a hub: those that match it and lie further in than that, less what a
+    # link spans, have no link to them.
+    reach = seen.where("NOT match").groupBy("band", "hub").agg(F.min("distance").alias("nearest"))
+    far = F.col("nearest").isNull() | (F.col("nearest") > F.col("distance") + span)
+    left = seen.join(reach, ["band", "hub"], "left").groupBy("band", "id")
+    left = left.agg(F.max(F.col("is_hub") | (F.col("match") & far)).alias("done")).where("NOT done").select("band", "id")
+    again = left.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
+    return edges, written(left.join(again, "band"), "band-members")
+
+
+def near_edges(lines: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+    """Edges (a, b) that connect the ids of all verified pairs of lines that meet in a band; lines has id, bands, grams."""
     bands, each = tuned(similarity, recall)
-    members = written(shared_bands(rows, bands, each), "band-members")
-    words = written(line_words(rows).join(members.select("key").distinct(), "key").groupBy("key").agg(F.max("words").alias("words")), "line-words")
-    edges, first = spark.createDataFrame([], "a long, b long"), True
-    while members.take(1):
-        counts = members.groupBy("band").agg(F.count("*").alias("n"), *(F.min_by("key", F.xxhash64("key", F.lit(i))).alias(f"hub{i}") for i in range(1 if first else HUBS)))
-        if not first:  # after a round with hubs what is left is mostly small
-            small = counts.where(F.col("n") <= MOST_MEMBERS).select("band")
-            edges = edges.unionByName(small_group_edges(members.join(small, "band"), words, similarity))
-            counts = counts.where(F.col("n") > MOST_MEMBERS)
-        first = False
-        hubs = F.array_distinct(F.array(*(c for c in counts.columns if c.startswith("hub"))))
-        asked = members.join(counts.select("band", hubs.alias("hubs")), "band").select("band", "key", "size", F.explode("hubs").alias("hub"), F.array_contains("hubs", F.col("key")).alias("is_hub")).where("key != hub")
-        sizes = members.select(F.col("key").alias("hub"), F.col("size").alias("hub_size")).distinct()
-        pairs = asked.select("key", "hub").distinct()
-        seen = asked.join(distances(pairs, words).join(sizes, "hub"), ["key", "hub"])
-        seen = written(seen.withColumn("match", F.col("distance") <= _span(F.greatest("size", "hub_size"), similarity)), "distances")
-        edges = edges.unionByName(seen.where("match").select(F.greatest("key", "hub").alias("a"), F.least("key", "hub").alias("b")).distinct())
-        # How near the members that do not match come to a hub, less what a link of theirs may span: those that match it and
-        # lie further in than that have no link to them.
-        reach = seen.where("NOT match").groupBy("band", "hub").agg(F.min(F.col("distance") - _span(F.col("size"), similarity)).alias("nearest"))
-        done = F.col("is_hub") | (F.col("match") & (F.col("nearest").isNull() | (F.col("nearest") > F.col("distance") + _span(F.col("size"), similarity))))
-        left = seen.join(reach, ["band", "hub"], "left").groupBy("band", "key").agg(F.max("size").alias("size"), F.max(done).alias("done")).where("NOT done").select("band", "key", "size")
-        again = left.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-        rest = written(left.join(again, "band"), "band-members")
+    span = 1 - similarity + 1e-9
+    lines = lines.where("bands IS NOT NULL")
+    members = written(shared_bands(lines.select("id", F.explode("bands").alias("band"))), "band-members")
+    wanted = members.select("id").distinct()
+    sets = written(lines.join(wanted, "id", "left_semi").groupBy("id").agg(F.max("grams").alias("grams")), "line-grams")
+    edges, level, hubs = None, 0, 1
+    while True:
+        large = members.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > MOST_MEMBERS).select("band")
+        large = written(large, "large-bands")
+        some = small_group_edges(members.join(large, "band", "left_anti"), sets, similarity)
+        edges = some if edges is None else edges.unionByName(some)
+        if large.isEmpty():
+            return edges
         edges = written(edges, "near-edges")
-        forget(seen)
-        forget(members)
-        members = rest
-    return edges
+        rest = members.join(large, "band", "left_semi")
+        if level and hubs == 1 and level <= LEVELS:
+            rest = written(_banded_anew(rest, sets, level, bands, each), "band-members")
+        found, left = _hub_round(rest, sets, hubs, span)
+        edges, members = edges.unionByName(found), left
+        level += 1
+        hubs = 1 if level <= LEVELS else 2 * hubs
 
 
 def _alike(a: np.ndarray, b: np.ndarray) -> int:
@@ -405,7 +408,9 @@ def runs(a: np.ndarray, b: np.ndarray, seeds: list[tuple[int, int]]) -> list[tup
     ends: dict[int, int] = {}  # of the last run on each diagonal
     found = []
     for i, j in sorted(seeds):
-        if i + CHUNK <= ends.get(i - j, -1) or not np.array_equal(a[i : i + CHUNK], b[j : j + CHUNK]) or min(len(a) - i, len(b) - j) < CHUNK:
+        if i + CHUNK <= ends.get(i - j, -1) or min(len(a) - i, len(b) - j) < CHUNK:
+            continue
+        if not np.array_equal(a[i : i + CHUNK], b[j : j + CHUNK]):
             continue
         left, right = _alike(a[:i][::-1], b[:j][::-1]), _alike(a[i:], b[j:])
         ends[i - j] = i + right
@@ -459,18 +464,21 @@ def spans(rows: DataFrame, seeds: DataFrame) -> DataFrame:
                 if not found:
                     continue
                 i, j, size = (np.array(c, np.int64) for c in zip(*found))
-                key, check = keys_of(a.hashes, i, i + size)
+                ids = ids_of(a.hashes, i, i + size)
                 start, kept = a.start[i], b.start[j]
-                columns = np.tile(key, 2), np.tile(check, 2), np.repeat([doc, keep], len(i)), np.concatenate([start, kept]), np.concatenate([a.stop[i + size - 1] - start, b.stop[j + size - 1] - kept])
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], NAMES)
+                chars = np.concatenate([a.stop[i + size - 1] - start, b.stop[j + size - 1] - kept])
+                places = np.repeat([doc, keep], len(i)), np.concatenate([start, kept]), chars
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays([ids, ids]), *map(pa.array, places)], NAMES)
 
     both = pairs.join(texts, "doc_id").join(keeps, "keep_doc_id").select("doc_id", "keep_doc_id", "seeds", "text", "keep_text")
     return both.mapInArrow(run, PIECES)
 
 
-def repeated_passages(docs: DataFrame, text: str = "text", id_col: str = "doc_id", similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+def repeated_passages(
+    docs: DataFrame, text: str = "text", id_col: str = "doc_id", similarity: float = SIMILARITY, recall: float = RECALL
+) -> DataFrame:
     """The pieces that two or more documents share, one row per occurrence: doc_id, start and n_chars (in code points),
-    group_id, keep_doc_id and keep_start (the occurrence that stays: the smallest doc_id, then start), kept.
+    group_id (24 hex digits), keep_doc_id and keep_start (the occurrence that stays: the smallest doc_id, then start), kept.
 
     A passage inside longer lines is reported whole: the run of words that an occurrence shares with the first one. Where a
     document repeats within itself what others hold too, the chunks are reported. Rows may overlap; those of a group that
@@ -480,39 +488,59 @@ def repeated_passages(docs: DataFrame, text: str = "text", id_col: str = "doc_id
     can't be told apart; repeated rows of one id count as one document, whose pieces stay in all of its rows. An empty
     table gives no rows; other columns of docs are not read.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    found = pieces(rows)
+    rows = docs.select(column(id_col).cast("long").alias("doc_id"), column(text).cast("string").alias("text"))
+    rows = rows.where("doc_id IS NOT NULL AND text IS NOT NULL")
+    found = written(pieces(rows, *tuned(similarity, recall)), "pieces")
     first = F.min(F.struct("doc_id", "start", (-F.col("n_chars")).alias("less")))
-    classes = found.groupBy("key", "check").agg(first.alias("first"), F.max("doc_id").alias("last"))
-    roots = written(components(near_edges(rows, similarity, recall)).select(F.col("node").alias("key"), "root"), "passage-roots")
+    ends = first.alias("first"), F.max("doc_id").alias("last")
+    roots = components(near_edges(found.select("id", "bands", "grams"), similarity, recall))
+    roots = written(roots.select(F.col("node").alias("id"), "root"), "passage-roots")
     # A lone class of one document is in no group; only what is left is looked at further.
-    some = classes.join(roots, "key", "left").where("root IS NOT NULL OR first.doc_id != last").select("key", "check", "first", (F.col("first.doc_id") != F.col("last")).alias("shared"))
-    held = written(found.join(some, ["key", "check"]), "passage-pieces")
+    some = found.groupBy("id").agg(*ends).join(roots, "id", "left").where("root IS NOT NULL OR first.doc_id != last")
+    some = some.select("id", "first", (F.col("first.doc_id") != F.col("last")).alias("shared"))
+    held = written(found.drop("bands", "grams").join(some, "id"), "passage-pieces")
     chunks = held.where("kind = 1 AND shared")
     same = F.col("doc_id") == F.col("first.doc_id")
-    seeds = chunks.where(~same).select("doc_id", "start", F.col("first.doc_id").alias("keep_doc_id"), F.col("first.start").alias("keep_start"))
-    inside = chunks.where(same & (F.col("start") != F.col("first.start"))).select("key", "check").distinct()
-    every = held.where("kind = 0").select(NAMES).unionByName(chunks.join(inside, ["key", "check"], "left_semi").select(NAMES)).unionByName(spans(rows, seeds))
-    every = written(every.distinct(), "passages")
-    classes = every.groupBy("key", "check").agg(first.alias("first"), F.max("doc_id").alias("last"))
-    some = classes.join(roots, "key", "left").withColumn("group_id", F.coalesce("root", "key"))
-    some = some.where("root IS NOT NULL OR first.doc_id != last").select("key", "check", "group_id", "first", "last")
-    best = some.groupBy("group_id").agg(F.min("first").alias("keep"), F.max("last").alias("last")).where("keep.doc_id != last").drop("last")
-    named = some.join(best, "group_id").select("key", "check", "group_id", "keep")
-    joined = every.join(named, ["key", "check"])
+    keep = F.col("first.doc_id").alias("keep_doc_id"), F.col("first.start").alias("keep_start")
+    seeds = chunks.where(~same).select("doc_id", "start", *keep)
+    inside = chunks.where(same & (F.col("start") != F.col("first.start"))).select("id").distinct()
+    every = held.where("kind = 0").select(NAMES).unionByName(chunks.join(inside, "id", "left_semi").select(NAMES))
+    every = written(every.unionByName(spans(rows, seeds)).distinct(), "passages")
+    forget(found)
+    some = every.groupBy("id").agg(*ends).join(roots, "id", "left").withColumn("group_id", F.coalesce("root", "id"))
+    some = some.where("root IS NOT NULL OR first.doc_id != last").select("id", "group_id", "first", "last")
+    best = some.groupBy("group_id").agg(F.min("first").alias("keep"), F.max("last").alias("last"))
+    named = some.join(best.where("keep.doc_id != last").drop("last"), "group_id").select("id", "group_id", "keep")
+    joined = every.join(named, "id")
     kept = (F.col("doc_id") == F.col("keep.doc_id")) & (F.col("start") < F.col("keep.start") - F.col("keep.less"))
-    return joined.select("doc_id", "start", "n_chars", "group_id", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.start").alias("keep_start"), kept.alias("kept"))
+    keep = F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.start").alias("keep_start"), kept.alias("kept")
+    return joined.select("doc_id", "start", "n_chars", F.lower(F.hex("group_id")).alias("group_id"), *keep)
 
 
 def without_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """docs with every repeated passage but the one that stays cut out of its text; all rows and columns stay."""
-    cut = repeated_passages(docs, text, id_col).where("NOT kept").groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "n_chars"))).alias("cuts"))
+    """docs with every repeated passage but the one that stays cut out of its text.
+
+    All rows and columns stay, whatever the columns' names; null texts stay null, rows with a null id and repeated rows of
+    the document whose passage stays are left as they are, and an empty table stays empty.
+    """
+    own, cuts = fresh(docs, "cut_id", "cuts")
+    spans_ = F.array_sort(F.collect_set(F.struct("start", "n_chars")))
+    cut = repeated_passages(docs, text, id_col).where("NOT kept").groupBy("doc_id").agg(spans_.alias(cuts))
+    joined = docs.join(cut.withColumnRenamed("doc_id", own), column(id_col).cast("long") == F.col(own), "left")
 
     def rest(t):
         # (text so far, where the uncut text goes on); spans come in order and may overlap
-        step = lambda acc, x: F.struct(F.concat(acc["out"], F.when(x["start"] > acc["at"], F.substring(t, (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int"))).otherwise("")).alias("out"), F.greatest(acc["at"], x["start"] + x["n_chars"]).alias("at"))
-        end = lambda acc: F.concat(acc["out"], F.substring(t, (acc["at"] + 1).cast("int"), F.length(t)))
-        return F.aggregate("_cuts", F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")), step, end)
+        def step(acc, x):
+            length = (x["start"] - acc["at"]).cast("int")
+            between = F.when(x["start"] > acc["at"], F.substring(t, (acc["at"] + 1).cast("int"), length)).otherwise("")
+            at = F.greatest(acc["at"], x["start"] + x["n_chars"])
+            return F.struct(F.concat(acc["out"], between).alias("out"), at.alias("at"))
+
+        def end(acc):
+            return F.concat(acc["out"], F.substring(t, (acc["at"] + 1).cast("int"), F.length(t)))
+
+        start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
+        return F.aggregate(cuts, start, step, end)
 
-    joined = docs.join(cut.select(F.col("doc_id").alias("_cut_id"), F.col("cuts").alias("_cuts")), docs[id_col] == F.col("_cut_id"), "left")
-    return joined.select(*(F.when(F.col("_cuts").isNull(), F.col(text)).otherwise(rest(F.col(text))).alias(text) if c == text else docs[c] for c in docs.columns))
+    cut_text = F.when(F.col(cuts).isNull(), column(text)).otherwise(rest(column(text))).alias(text)
+    return joined.select(*(cut_text if c == text else column(c) for c in docs.columns))
