@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import column, fresh, without, written
 
 #: Digests in a shard, on average: bounds what a task holds at once to a few MB.
 SHARD_DIGESTS = 4096
@@ -82,7 +82,10 @@ class PerfectHash:
         return cls(levels)
 
 
-INDEX = "shard long, sizes array<int>, bits binary, digests binary, keep_id array<long>, keep_chars array<long>, members array<long>"
+INDEX = (
+    "shard long, sizes array<int>, bits binary, digests binary, keep_id array<long>, keep_chars array<long>, "
+    "members array<long>"
+)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -90,10 +93,12 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def winners(rows: DataFrame) -> DataFrame:
-    """(digest, keep_id, keep_chars, members) of (digest, doc_id, chars): most code points, then smallest doc_id (nulls last)."""
+    """(digest, keep_id, keep_chars, members) of (digest, doc_id, chars): most code points, then smallest doc_id, nulls
+    last."""
     best = F.max(F.struct(F.col("chars"), F.col("doc_id").isNotNull().alias("known"), (-F.col("doc_id")).alias("back")))
     some = rows.groupBy("digest").agg(best.alias("best"), F.count("*").alias("members"))
-    return some.select("digest", (-F.col("best.back")).alias("keep_id"), F.col("best.chars").alias("keep_chars"), "members")
+    keep = (-F.col("best.back")).alias("keep_id"), F.col("best.chars").alias("keep_chars")
+    return some.select("digest", *keep, "members")
 
 
 def _shard(digest: Column, shards: int) -> Column:
@@ -110,9 +115,14 @@ def build_index(history: DataFrame, shards: int) -> DataFrame:
         sizes, bits = hash_.packed()
         take = rows.take(pa.array(order))
         lists = {k: [take[k].to_pylist()] for k in ("keep_id", "keep_chars", "members")}
-        return pa.table({"shard": [rows["shard"][0].as_py()], "sizes": pa.array([sizes], pa.list_(pa.int32())), "bits": pa.array([bits], pa.binary()), "digests": pa.array([digests[order].tobytes()], pa.binary()), **{k: pa.array(v, pa.list_(pa.int64())) for k, v in lists.items()}})
+        return pa.table({
+            "shard": [rows["shard"][0].as_py()], "sizes": pa.array([sizes], pa.list_(pa.int32())),
+            "bits": pa.array([bits], pa.binary()), "digests": pa.array([digests[order].tobytes()], pa.binary()),
+            **{k: pa.array(v, pa.list_(pa.int64())) for k, v in lists.items()},
+        })
 
-    return winners(history).withColumn("shard", _shard(F.col("digest"), shards)).groupBy("shard").applyInArrow(build, INDEX)
+    sharded = winners(history).withColumn("shard", _shard(F.col("digest"), shards))
+    return sharded.groupBy("shard").applyInArrow(build, INDEX)
 
 
 GROUPS = "digest binary, keep_id long, members long, origin string"
@@ -147,7 +157,11 @@ def look_up(candidates: DataFrame, index: DataFrame, shards: int) -> DataFrame:
         left_digests = pa.array([x.tobytes() for x in held[left]], pa.binary())
         digests = pa.chunked_array([*rows["digest"].chunks, left_digests], pa.binary())
         origin = np.where(slots >= 0, "both", "new").tolist() + ["old"] * len(left)
-        return pa.table({"digest": digests, "keep_id": pa.array(keep + [one["keep_id"][s] for s in left], pa.int64()), "members": pa.array(members + [one["members"][s] for s in left], pa.int64()), "origin": pa.array(origin, pa.string())})
+        old = {k: [one[k][s] for s in left.tolist()] for k in ("keep_id", "members")} if len(left) else {}
+        return pa.table({
+            "digest": digests, "keep_id": pa.array(keep + old.get("keep_id", []), pa.int64()),
+            "members": pa.array(members + old.get("members", []), pa.int64()), "origin": pa.array(origin, pa.string()),
+        })
 
     dealt = candidates.withColumn("shard", _shard(F.col("digest"), shards))
     return dealt.groupBy("shard").cogroup(index.groupBy("shard")).applyInArrow(find, GROUPS)
@@ -164,16 +178,18 @@ def exact_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
     gives no rows; other columns of docs are not read.
     """
     joined = _grouped(docs, text, id_col)
-    return joined.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept")
+    return joined.select("doc_id", "keep_id", "group_size", kept, F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def _digest(text: str) -> Column:
-    return F.unhex(F.sha2(normalised(F.col(text)), 256))
+    return F.unhex(F.sha2(normalised(column(text)), 256))
 
 
 def _groups(docs: DataFrame, text: str, id_col: str) -> tuple[DataFrame, DataFrame]:
     """(doc_id, digest, chars) of every row, and (digest, keep_id, members, origin) of every group of several rows."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _digest(text).alias("digest"), F.coalesce(F.length(text), F.lit(0)).cast("long").alias("chars"))
+    chars = F.coalesce(F.length(column(text)), F.lit(0)).cast("long").alias("chars")
+    rows = docs.select(column(id_col).cast("long").alias("doc_id"), _digest(text).alias("digest"), chars)
     rows = written(rows, "digests")
     low, high, n = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
     shards = max(1, n // SHARD_DIGESTS)
@@ -186,25 +202,33 @@ def _groups(docs: DataFrame, text: str, id_col: str) -> tuple[DataFrame, DataFra
 def _grouped(docs: DataFrame, text: str, id_col: str) -> DataFrame:
     rows, groups = _groups(docs, text, id_col)
     keep = F.when(F.col("members").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
-    return rows.join(groups, "digest", "left").select("doc_id", keep.alias("keep_id"), F.coalesce("members", F.lit(1)).alias("group_size"), "digest")
+    size = F.coalesce("members", F.lit(1)).alias("group_size")
+    return rows.join(groups, "digest", "left").select("doc_id", keep.alias("keep_id"), size, "digest")
 
 
 def without_copies(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """One row of docs for each different text, with all its columns: the winner by exact_groups()'s rule. Of several rows
-    of the winner's id (or without any id) one stays."""
+    """One row of docs for each different text, with all its columns, whatever their names: the winner by exact_groups()'s
+    rule. Of several rows of the winner's id (or without any id) one stays, whichever.
+
+    Nulls count as empty texts; an empty table gives no rows. The losers' ids and digests are taken out of docs; while they
+    are few, the texts are not shuffled.
+    """
     rows, groups = _groups(docs, text, id_col)
-    groups = groups.select(F.col("digest").alias("_digest"), F.col("keep_id").alias("_keep"))
-    joined = docs.withColumn("_own", _digest(text)).join(groups, F.col("_own") == F.col("_digest"), "left")
-    kept = joined.where(F.col("_digest").isNull() | F.col(id_col).cast("long").eqNullSafe(F.col("_keep")))
+    lost = rows.join(groups, "digest").where(~F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    lost = written(lost.select("doc_id", "digest").distinct(), "lost-copies")
+    kept = without(docs, lost, {"doc_id": column(id_col).cast("long"), "digest": _digest(text)})
     again = rows.groupBy("doc_id", "digest").agg(F.count("*").alias("n")).where("n > 1")
-    if again.take(1):
-        kept = kept.dropDuplicates([id_col, "_own"])
-    return kept.select(*docs.columns)
+    if again.isEmpty():
+        return kept
+    (own,) = fresh(docs, "own_digest")
+    kept = kept.withColumn(own, _digest(text)).dropDuplicates([id_col, own])
+    return kept.select(*(column(c) for c in docs.columns))
 
 
 #: The same in DuckDB's SQL.
 EXACT_GROUPS_SQL = r"""
-WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256, length(coalesce(text, '')) AS chars FROM documents)
+WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256,
+  length(coalesce(text, '')) AS chars FROM documents)
 SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
   doc_id IS NOT DISTINCT FROM first_value(doc_id) OVER w AS kept, text_sha256
 FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY chars DESC, doc_id NULLS LAST)"""

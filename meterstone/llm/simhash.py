@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, written
+from .shared import column, components, without, written
 
 WORDS = 4
 SEED = 42
@@ -33,7 +33,8 @@ def shingle_hashes(text: bytes, words: int = WORDS, seed: int = SEED) -> list[in
     size = np.fromiter(map(len, split), np.int64, len(split)) + 1
     stop = np.cumsum(size)
     begin = stop - size
-    return [digest(joined[s:e], seed) for s, e in zip(begin[: len(split) - words + 1].tolist(), (stop[words - 1 :] - 1).tolist())]
+    spans = zip(begin[: len(split) - words + 1].tolist(), (stop[words - 1 :] - 1).tolist())
+    return [digest(joined[s:e], seed) for s, e in spans]
 
 
 def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -68,7 +69,7 @@ def fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
             fp = np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([ids, pa.array(fp)], ["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(column(id_col).cast("long").alias("doc_id"), column(text).cast("string")).mapInArrow(run, "doc_id long, fp long")
 
 
 def segments(bits: int = BITS) -> list[tuple[int, int]]:
@@ -121,7 +122,8 @@ def links(sigs: DataFrame, bits: int = BITS) -> DataFrame:
         few = np.repeat(size <= 8, size)
         for step in range(1, 8):
             one, two = fp[:-step], fp[step:]
-            near = (sig[:-step] == sig[step:]) & few[step:] & (np.bitwise_count((one ^ two).view(np.uint64)) <= bits) & (one != two)
+            near = (sig[:-step] == sig[step:]) & few[step:] & (one != two)
+            near &= np.bitwise_count((one ^ two).view(np.uint64)) <= bits
             a.append(np.maximum(one[near], two[near]))
             b.append(np.minimum(one[near], two[near]))
         for i in np.flatnonzero(size > 8):
@@ -164,12 +166,17 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     named = distinct.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     named = written(named.join(least, "root").select("fp", "component_id"), "fingerprint-components")
-    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    fingerprint = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
+    return rows.join(named, "fp").select("doc_id", fingerprint, "component_id")
 
 
 def without_near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", bits: int = BITS) -> DataFrame:
-    """The rows of docs whose id is the smallest of its component, with all their columns. Rows without an id can't be
-    dropped by it and stay."""
-    known = near_duplicates(docs.where(F.col(id_col).isNotNull()), text, id_col, bits)
-    dropped = known.where("doc_id != component_id").select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, docs[id_col].cast("long") == F.col("_dropped"), "left_anti")
+    """The rows of docs whose id is the smallest of its component, with all their columns, whatever their names.
+
+    Rows without an id can't be dropped by it and stay; of repeated rows of one id all stay or none. Null and empty texts
+    have fingerprint zero, so one id of all those stays. An empty table gives no rows. The dropped ids are taken out of
+    docs; while they are few, the texts are not shuffled.
+    """
+    known = near_duplicates(docs.where(column(id_col).isNotNull()), text, id_col, bits)
+    dropped = written(known.where("doc_id != component_id").select("doc_id").distinct(), "near-copies")
+    return without(docs, dropped, {"doc_id": column(id_col).cast("long")})
