@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, html_extract, license_scan, packing, passages, simhash, toxicity, url_filter, warc
+from . import (
+    decontaminate,
+    exact_dedup,
+    html_extract,
+    license_scan,
+    packing,
+    passages,
+    simhash,
+    toxicity,
+    url_filter,
+    warc,
+)
 
 HOST_RULES = (
     url_filter.HostRule("allow", "com", "/"),
@@ -46,7 +57,7 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(_table(spark, sf_dir, "pages")).drop("html")
+    return warc.round_trip(_table(spark, sf_dir, "pages")).drop("payload")
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,9 +73,15 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    each = (op1_html_extract, op2_repeated_passages, op3_url_filter, op4_exact_dedup, op5_packing, op6_decontaminate, op7_warc, op8_license_scan, op9_toxicity, op10_simhash)
+    each = (
+        op1_html_extract, op2_repeated_passages, op3_url_filter, op4_exact_dedup, op5_packing, op6_decontaminate, op7_warc,
+        op8_license_scan, op9_toxicity, op10_simhash,
+    )
     return {f.__name__: f for f in each}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": url_filter.filter_urls_sql(HOST_RULES), "op4_exact_dedup": exact_dedup.EXACT_GROUPS_SQL, "op7_warc": warc.ROUND_TRIP_SQL, "op8_license_scan": license_scan.scan_sql()}
+    return {
+        "op3_url_filter": url_filter.filter_urls_sql(HOST_RULES), "op4_exact_dedup": exact_dedup.EXACT_GROUPS_SQL,
+        "op7_warc": warc.ROUND_TRIP_SQL, "op8_license_scan": license_scan.scan_sql(),
+    }
