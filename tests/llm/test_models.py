@@ -9,7 +9,7 @@ import pytest
 import corpus_pipeline
 from meterstone.llm import decontaminate, exact_dedup, packing, queries, simhash, toxicity
 
-from .test_documents import EDGES, check_packing, docs, random_docs
+from .test_documents import EDGES, check_packing, docs, random_docs, untouched
 
 SF = "/root/testdata/sf0.001"
 
@@ -70,15 +70,14 @@ def test_contaminated_against_brute_force(spark, planted):
                 d = slow_best(p, plain(t))
                 if 1 - d / len(p) >= decontaminate.SIMILARITY:
                     want[i, n] = d
+            elif p and f" {p} " in f" {plain(t)} ":
+                want[i, n] = 0
     assert len(want) >= 20 and set(got) <= set(want)
-    # The embedding's letters are words: its recall holds for items of which so many words are untouched.
-    letters = lambda t: [f"{hash(w)}" for w in plain(t).split()]
-    near = {k for k in want if 1 - slow_best(letters(dict(items)[k[1]]), letters(dict(rows)[k[0]])) / len(letters(dict(items)[k[1]])) >= decontaminate.SIMILARITY}
-    assert len(near) >= 20 and len(near & set(got)) >= 0.95 * len(near)
+    assert len(got) >= 0.9 * len(want)
     assert all(got[k]["edit_distance"] == want[k] for k in got)
     assert all((n, n) in got for n in range(0, 24, 3))  # copies without edits
-    left = {r["doc_id"] for r in decontaminate.without_contaminated(docs(spark, rows), bench).collect()}
-    assert left == {i for i, _ in rows} - {i for i, _ in got}
+    left = decontaminate.without_contaminated(docs(spark, rows), bench)
+    assert {r["doc_id"] for r in left.collect()} == {i for i, _ in rows} - {i for i, _ in got} and untouched(left)
 
 
 def test_blocks_of_items(spark, planted, monkeypatch):
@@ -99,51 +98,54 @@ def test_contaminated_at_the_edges(spark):
     assert decontaminate.contaminated(docs(spark, []), bench).count() == 0
 
 
-def recall(rate, seed=3):
-    r = random.Random(seed)
-    words = [f"{a}{b}{c}" for a in "bdfgh" for b in "aeiou" for c in "lmnrst"]
-    items = [(n, " ".join(r.choice(words) for _ in range(r.randint(14, 60)))) for n in range(150)]
-    index, texts, want = decontaminate.ItemIndex(items), [], []
-    for n, t in items:
-        w = [r.choice(words) if r.random() < rate else x for x in t.split()]
-        around = [r.choice(words) for _ in range(200)]
-        at = r.randrange(200)
-        texts.append(" ".join(around[:at] + w + around[at:]).encode())
-        if 1 - decontaminate.best_distance(t.encode(), texts[-1]) / len(t) >= 0.8:
-            want.append((n, n))
-    got = {(d, i) for d, i, *_ in decontaminate._search(index, list(range(150)), texts, 0.8)}
-    return sum(x in got for x in want) / len(want)
+def edited(r, t, kind, share, words):
+    """An item with edits to a share of its characters (half of them substitutions), its words, or one letter of its words."""
+    if kind == "char":
+        out = []
+        for c in t:
+            u = r.random() / share
+            out.append(c if u >= 1 else r.choice("abcdefgh") if u < 0.5 else c + r.choice("abcdefgh") if u < 0.75 else "")
+        return "".join(out)
+    w = t.split()
+    for at in r.sample(range(len(w)), max(1, round(share * len(w)))):
+        letter = r.randrange(len(w[at]))
+        w[at] = r.choice(words) if kind == "word" else w[at][:letter] + "z" + w[at][letter + 1 :]
+    return " ".join(w)
 
 
-def test_recall():
-    assert recall(0) == 1 and recall(0.05) >= 0.97 and recall(0.15) >= 0.85
-
-
-def recall_at(n, kind, share, items=60, seed=5):
-    """Of items of n words, those found at a similarity of 0.8 or more after edits to a share of their words (at least one)."""
+def recall_at(n, kind, share, items=80, seed=5):
+    """Of all items of n words that stand in a text at a similarity of 0.8 or more after such edits, the share found."""
     r = random.Random(seed)
     words = [f"{a}{b}{c}{d}" for a in "bdfghk" for b in "aeiou" for c in "lmnrst" for d in ("", "a", "en", "ion", "ity")]
+    words += ["the", "of", "and", "to", "in", "a", "is"] * 60
     known = [(k, " ".join(r.choice(words) for _ in range(n))) for k in range(items)]
     index, texts, want = decontaminate.ItemIndex(known), [], []
     for k, t in known:
-        w = t.split()
-        for at in r.sample(range(n), max(1, round(share * n))):
-            letter = r.randrange(len(w[at]))
-            w[at] = r.choice(words) if kind == "word" else w[at][:letter] + "z" + w[at][letter + 1 :]
         around = [r.choice(words) for _ in range(200)]
         at = r.randrange(200)
-        texts.append(" ".join(around[:at] + w + around[at:]).encode())
-        if 1 - decontaminate.best_distance(t.encode(), texts[-1]) / len(t) >= 0.8:
+        texts.append(" ".join([*around[:at], edited(r, t, kind, share, words), *around[at:]]).encode())
+        if 1 - decontaminate.best_distance(t, texts[-1].decode()) / len(t) >= 0.8:
             want.append((k, k))
-    got = {(d, i) for d, i, *_ in decontaminate._search(index, list(range(items)), texts, 0.8)}
+    got = {(d, i) for d, i, *_ in index.search(list(range(items)), texts, 0.8)}
     return len(want), sum(x in got for x in want) / max(1, len(want))
 
 
-@pytest.mark.parametrize("n", [6, 11, 23, 47, 95])
-@pytest.mark.parametrize(("kind", "share"), [("typo", 0.01), ("typo", 0.15), ("typo", 0.2), ("typo", 0.4), ("word", 0.15), ("word", 0.2)])
+EDITS = [("char", 0.03), ("char", 0.1), ("char", 0.19), ("typo", 0.2), ("typo", 1.0), ("word", 0.15), ("word", 0.2)]
+
+
+@pytest.mark.parametrize("n", [5, 6, 8, 11, 23, 47, 95])
+@pytest.mark.parametrize(("kind", "share"), EDITS)
 def test_recall_of_every_length(n, kind, share):
     some, found = recall_at(n, kind, share)
-    assert some > 20 and found >= 0.9
+    assert some > 15 and found >= decontaminate.RECALL
+
+
+def test_short_items_and_scripts_without_spaces():
+    some = [(1, "two words"), (2, "日本語のテキスト"), (3, ""), (4, None), (5, "漢字"), (6, "ni hao 漢字")]
+    index = decontaminate.ItemIndex(some)
+    texts = ["some two, words here", "これは日本語のテクストです。", "x漢字y", "two other words", "two wordsx"]
+    got = sorted(index.search(list(range(5)), [t.encode() for t in texts], 0.8))
+    assert got == [(0, 1, 0, 1.0), (1, 2, 1, 0.875), (2, 5, 0, 1.0)]
 
 
 # Toxicity
@@ -177,14 +179,44 @@ def labelled(spark, n=600, seed=4):
 
 
 def test_counterfactuals_even_out_group_mentions(spark, monkeypatch):
+    """With the weight as shipped, neutral mentions of the group that toxic texts name most are scored like others, and fewer
+    of them are taken for toxic."""
     d, y = labelled(spark)
-    gap = {}
-    for weight in (0.0, 50.0):
+    gap, wrong = {}, {}
+    r = random.Random(6)
+    neutral = [" ".join(r.choice([f"word{i}" for i in range(60)]) for _ in range(12)) for _ in range(300)]
+    for weight in (0.0, toxicity.CF_WEIGHT):
         monkeypatch.setattr(toxicity, "fit", lambda *a, w=weight, f=fit: f(*a, cf_weight=w))
         score = toxicity.train(d, y).scorer()
         gap[weight] = score("a muslim spoke to us") - score("a christian spoke to us")
+        wrong[weight] = sum(score(f"{t} muslim") >= 0.5 for t in neutral)
         assert score("what an idiotic thing") > 0.5
-    assert gap[50.0] < gap[0.0] / 2
+    assert gap[toxicity.CF_WEIGHT] < gap[0.0] / 2 and wrong[toxicity.CF_WEIGHT] < 0.5 * wrong[0.0]
+
+
+def test_fit_against_a_plain_optimiser():
+    """The accelerated steps end where plain gradient descent on the same loss does."""
+    r = np.random.default_rng(8)
+    rows = [sorted(set(r.integers(0, 12, 4).tolist())) for _ in range(80)]
+    labels = np.array([int(0 in x or r.random() < 0.2) for x in rows])
+    pairs = [(x, sorted({*x} ^ {1, 2})) for x in rows[:30]]
+    got, bias = toxicity.fit(rows, labels, pairs, 12, rounds=3000)
+    x, a, b = (np.array([[float(j in q) for j in range(12)] for q in some]) for some in (rows, *zip(*pairs)))
+    w, c = np.zeros(12), 0.0
+    for _ in range(60_000):
+        p, pa_, pb = (1 / (1 + np.exp(-(m @ w + c))) for m in (x, a, b))
+        da, db = (s * 2 * toxicity.CF_WEIGHT * (pa_ - pb) * q * (1 - q) for s, q in ((1, pa_), (-1, pb)))
+        w -= 0.01 * (x.T @ (p - labels) + a.T @ da + b.T @ db + toxicity.L2 * w)
+        c -= 0.01 * ((p - labels).sum() + da.sum() + db.sum())
+    assert np.abs(got - w).max() < 0.02 and abs(bias - c) < 0.02
+
+
+def test_filter_keeps_all_without_evidence(spark):
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    only = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
+    for y in (none, only):
+        left = toxicity.without_toxic(docs(spark, EDGES), toxicity.train(docs(spark, EDGES), y))
+        assert left.count() == len(EDGES) and untouched(left)
 
 
 fit = toxicity.fit
@@ -211,6 +243,14 @@ def test_toxicity_at_the_edges(spark):
     assert toxicity.toxicity(docs(spark, []), y.limit(0)).count() == 0
 
 
+def test_scores_go_beside_columns_of_any_name(spark):
+    model = toxicity.Model({"=alpha": 0}, np.array([9.0]), -4.0)
+    got = toxicity.scored(docs(spark, EDGES), model)
+    assert got.columns[-1] == "score_1" and untouched(got.drop("score_1"))
+    left = toxicity.without_toxic(docs(spark, EDGES), model)
+    assert untouched(left) and left.count() == len(EDGES) - 5  # those with alpha
+
+
 def test_fit_of_one_label_or_none():
     assert toxicity.fit([], np.array([]), [], 3)[1] == 0 and toxicity.fit([[0]], np.array([0]), [], 3)[1] < 0
 
@@ -254,5 +294,6 @@ def test_stages_keep_the_columns(spark):
         assert out.columns == rows.columns, name
         assert 0 < out.count() <= len(EDGES)
         assert stage(spark, edges.limit(0), SF).count() == 0
+        assert untouched(stage(spark, docs(spark, EDGES), SF)), name
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact dedup", "near dedup", "decontamination", "packing"]
     assert exact_dedup and packing and simhash
