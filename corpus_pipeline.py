@@ -9,28 +9,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from meterstone.llm import decontaminate, exact_dedup, packing, simhash, toxicity
-from meterstone.llm.shared import written
+from meterstone.llm.shared import forget, written
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity score under 0.5; labels are learned as in op9."""
+    """Documents with a toxicity score under 0.5; labels are learned as in op9.
+
+    Without labels of both kinds all documents stay. Null and empty texts have the score of no words; repeated rows and rows
+    without an id are scored like any other; an empty table stays empty; further columns are carried along.
+    """
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~toxicity.held_out())
-    return toxicity.scored(docs, model, out="_toxicity").where("_toxicity < 0.5").select(*docs.columns)
+    return toxicity.without_toxic(docs, model)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each text, by op4's rule; null counts as the empty text, of rows alike one stays."""
     return exact_dedup.without_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest doc_id of each component of op10; rows without an id stay, texts without words are near each other."""
     return simhash.without_near_duplicates(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of the benchmark, by op6's rule; null and empty texts stay, an empty benchmark drops none."""
     return decontaminate.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of op5; null texts count as empty, every row is packed."""
     return packing.pack(docs)
 
 
@@ -47,7 +55,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The packed pieces of what the stages keep. Each stage's table is deleted once the next one's is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before is not None:
+            forget(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
