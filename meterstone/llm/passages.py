@@ -13,9 +13,9 @@ stays.
 
 Bands of up to MOST_MEMBERS lines are worked off in one task each. In a larger band, members are compared with a hub, not
 with each other, which any number of tasks share; the hub goes, and so do members that matched it, unless the triangle
-inequality (1 - similarity is a metric) leaves room for a link between them and a member that did not. What is left is banded
-anew by other hashes, at most LEVELS times, so that lines which met by a frequent shingle part again; then more and more hubs
-a round do the rest. No member is passed over.
+inequality (1 - similarity is a metric) leaves room for a link between them and a member that did not. What three such
+rounds leave of a large band is banded anew by other hashes, at most LEVELS times, so that lines which met by a frequent
+shingle part again; then more and more hubs a round do the rest. No member is passed over.
 """
 
 from __future__ import annotations
@@ -46,7 +46,7 @@ AT_ONCE = 2 << 20
 MOST_SEEN = 1 << 18
 
 #: Members of a band that one task works off by itself, and how often what hubs leave of larger ones is banded anew.
-MOST_MEMBERS, LEVELS = 256, 3
+MOST_MEMBERS, LEVELS = 2048, 2
 
 PIECES = "id binary, doc_id long, start long, n_chars long"
 NAMES = [c.split()[0] for c in PIECES.split(", ")]
@@ -185,9 +185,9 @@ def _chunks(batches, doc: int = 0, text: int = 1) -> Iterator[tuple[list, Pieces
             yield ids, Pieces(texts)
 
 
-def pieces(rows: DataFrame, bands: int, each: int) -> DataFrame:
-    """PIECES and kind (1 for chunks) of all pieces of (doc_id, text); bands and grams of lines, the set of whose shingles is
-    grams (4 bytes each, ascending), where the task has not put them out before."""
+def pieces(rows: DataFrame) -> DataFrame:
+    """PIECES and kind (1 for chunks) of all pieces of (doc_id, text); and grams of lines, the set of their shingles' hashes
+    (4 bytes each, ascending), where the task has not put them out before."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -199,19 +199,17 @@ def pieces(rows: DataFrame, bands: int, each: int) -> DataFrame:
                     new.append(n)
             line = np.array(new, np.int64)
             grams, begin = p.grams(line)
-            values = band_values(grams, begin, bands, each, 0)
-            ends = np.append(begin[1:], len(grams))
-            told, sets = [None] * len(ids), [None] * len(ids)
-            for n, v, a, b in zip(new, values.tolist(), begin.tolist(), ends.tolist()):
-                told[n], sets[n] = v, np.unique((grams[a:b] >> np.uint64(32)).astype(np.uint32)).tobytes()
+            small, ends = (grams >> np.uint64(32)).astype(np.uint32), np.append(begin[1:], len(grams))
+            sets = [None] * len(ids)
+            for n, a, b in zip(new, begin.tolist(), ends.tolist()):
+                sets[n] = np.unique(small[a:b]).tobytes()
             docs = pa.array(doc_ids, pa.int64()).take(pa.array(p.doc))
             columns = p.ids, docs, pa.array(p.start), pa.array(p.chars), pa.array(p.kind.astype(np.int32))
-            lists = pa.array(told, pa.list_(pa.int64())), pa.array(sets, pa.binary())
-            yield pa.RecordBatch.from_arrays([*columns, *lists], [*NAMES, "kind", "bands", "grams"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(sets, pa.binary())], [*NAMES, "kind", "grams"])
             if len(seen) > MOST_SEEN:
                 seen.clear()
 
-    return rows.mapInArrow(run, f"{PIECES}, kind int, bands array<long>, grams binary")
+    return rows.mapInArrow(run, f"{PIECES}, kind int, grams binary")
 
 
 def shared_bands(members: DataFrame) -> DataFrame:
@@ -327,22 +325,24 @@ def distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("id", "hub", "grams", "hub_grams").mapInArrow(run, "id binary, hub binary, distance double")
 
 
-def _banded_anew(members: DataFrame, sets: DataFrame, level: int, bands: int, each: int) -> DataFrame:
-    """(band, id): each band's members again, by the bands of another level inside it."""
+def banded(lines: DataFrame, bands: int, each: int, level: int = 0) -> DataFrame:
+    """(band, id) of lines (id, grams) by the bands of a level; if they have a band already, inside that one."""
+    within = "band" in lines.columns
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            parts = [np.frombuffer(g, np.uint32).astype(np.uint64) for g in b.column(2).to_pylist()]
+            parts = [np.frombuffer(g, np.uint32) for g in b.column(1).to_pylist()]
             begin = np.cumsum([0, *map(len, parts)])[:-1]
-            values = band_values(np.concatenate(parts), begin, bands, each, level)
-            mixed = values ^ (b.column(0).to_numpy() * 0x5851F42D4C957F2D)[:, None]
-            ids = b.column(1).take(pa.array(np.repeat(np.arange(len(parts)), bands)))
-            yield pa.RecordBatch.from_arrays([pa.array(mixed.ravel()), ids], ["band", "id"])
+            values = band_values(np.concatenate(parts).astype(np.uint64), begin, bands, each, level)
+            if within:
+                values = values ^ (b.column(2).to_numpy() * 0x5851F42D4C957F2D)[:, None]
+            ids = b.column(0).take(pa.array(np.repeat(np.arange(len(parts)), bands)))
+            yield pa.RecordBatch.from_arrays([pa.array(values.ravel()), ids], ["band", "id"])
 
-    joined = members.join(sets, "id").select("band", "id", "grams")
-    return shared_bands(joined.mapInArrow(run, "band long, id binary"))
+    rows = lines.select("id", "grams", *(["band"] if within else []))
+    return shared_bands(rows.mapInArrow(run, "band long, id binary"))
 
 
 def _hub_round(members: DataFrame, sets: DataFrame, hubs: int, span: float) -> tuple[DataFrame, DataFrame]:
@@ -366,29 +366,30 @@ def _hub_round(members: DataFrame, sets: DataFrame, hubs: int, span: float) -> t
 
 
 def near_edges(lines: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """Edges (a, b) that connect the ids of all verified pairs of lines that meet in a band; lines has id, bands, grams."""
+    """Edges (a, b) that connect the ids of all verified pairs of lines (id, grams) that meet in a band."""
     bands, each = tuned(similarity, recall)
     span = 1 - similarity + 1e-9
-    lines = lines.where("bands IS NOT NULL")
-    members = written(shared_bands(lines.select("id", F.explode("bands").alias("band"))), "band-members")
+    members = written(banded(lines, bands, each), "band-members")
     wanted = members.select("id").distinct()
     sets = written(lines.join(wanted, "id", "left_semi").groupBy("id").agg(F.max("grams").alias("grams")), "line-grams")
-    edges, level, hubs = None, 0, 1
+    edges, rounds = None, 0
     while True:
         large = members.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > MOST_MEMBERS).select("band")
         large = written(large, "large-bands")
         some = small_group_edges(members.join(large, "band", "left_anti"), sets, similarity)
-        edges = some if edges is None else edges.unionByName(some)
+        edges = written(some if edges is None else edges.unionByName(some), "near-edges")
         if large.isEmpty():
+            forget(members)
+            forget(sets)
             return edges
-        edges = written(edges, "near-edges")
-        rest = members.join(large, "band", "left_semi")
-        if level and hubs == 1 and level <= LEVELS:
-            rest = written(_banded_anew(rest, sets, level, bands, each), "band-members")
+        rest, level = members.join(large, "band", "left_semi"), rounds // 3
+        if rounds % 3 == 0 and 0 < level <= LEVELS:
+            rest = written(banded(rest.join(sets, "id"), bands, each, level), "band-members")
+        hubs = 4 ** (rounds % 3) if level <= LEVELS else 1 << min(rounds - 3 * LEVELS, 10)
         found, left = _hub_round(rest, sets, hubs, span)
-        edges, members = edges.unionByName(found), left
-        level += 1
-        hubs = 1 if level <= LEVELS else 2 * hubs
+        edges = edges.unionByName(found)
+        forget(members)
+        members, rounds = left, rounds + 1
 
 
 def _alike(a: np.ndarray, b: np.ndarray) -> int:
@@ -490,15 +491,18 @@ def repeated_passages(
     """
     rows = docs.select(column(id_col).cast("long").alias("doc_id"), column(text).cast("string").alias("text"))
     rows = rows.where("doc_id IS NOT NULL AND text IS NOT NULL")
-    found = written(pieces(rows, *tuned(similarity, recall)), "pieces")
+    found = written(pieces(rows), "pieces")
     first = F.min(F.struct("doc_id", "start", (-F.col("n_chars")).alias("less")))
     ends = first.alias("first"), F.max("doc_id").alias("last")
-    roots = components(near_edges(found.select("id", "bands", "grams"), similarity, recall))
+    near = near_edges(found.where("grams IS NOT NULL").select("id", "grams"), similarity, recall)
+    roots = components(near)
     roots = written(roots.select(F.col("node").alias("id"), "root"), "passage-roots")
     # A lone class of one document is in no group; only what is left is looked at further.
     some = found.groupBy("id").agg(*ends).join(roots, "id", "left").where("root IS NOT NULL OR first.doc_id != last")
     some = some.select("id", "first", (F.col("first.doc_id") != F.col("last")).alias("shared"))
-    held = written(found.drop("bands", "grams").join(some, "id"), "passage-pieces")
+    held = written(found.drop("grams").join(some, "id"), "passage-pieces")
+    forget(near)
+    forget(found)
     chunks = held.where("kind = 1 AND shared")
     same = F.col("doc_id") == F.col("first.doc_id")
     keep = F.col("first.doc_id").alias("keep_doc_id"), F.col("first.start").alias("keep_start")
@@ -506,7 +510,7 @@ def repeated_passages(
     inside = chunks.where(same & (F.col("start") != F.col("first.start"))).select("id").distinct()
     every = held.where("kind = 0").select(NAMES).unionByName(chunks.join(inside, "id", "left_semi").select(NAMES))
     every = written(every.unionByName(spans(rows, seeds)).distinct(), "passages")
-    forget(found)
+    forget(held)
     some = every.groupBy("id").agg(*ends).join(roots, "id", "left").withColumn("group_id", F.coalesce("root", "id"))
     some = some.where("root IS NOT NULL OR first.doc_id != last").select("id", "group_id", "first", "last")
     best = some.groupBy("group_id").agg(F.min("first").alias("keep"), F.max("last").alias("last"))

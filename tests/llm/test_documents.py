@@ -357,7 +357,7 @@ def test_bands_meet_at_the_similarity_that_links():
             b = c
         p = passages.Pieces([" ".join(a).encode(), " ".join(b).encode()])
         grams, begin = p.grams(np.flatnonzero(p.kind == 0))
-        one, two = passages.band_values(grams, begin, bands, each, 0)
+        one, two = passages.band_values(grams >> np.uint64(32), begin, bands, each, 0)
         some, met = some + 1, met + bool((one == two).any())
     assert met >= 0.97 * some
 
@@ -501,7 +501,7 @@ def test_near_lines_against_brute_force(spark):
     assert classes_of(rows, got) == linked_classes(rows) and len(linked_classes(rows)) >= 3
 
 
-@pytest.mark.parametrize("levels", [0, 2])
+@pytest.mark.parametrize("levels", [0, 1])
 def test_large_bands_go_by_hubs_and_other_bands(spark, monkeypatch, levels):
     """With hardly a band worked off in one task, the classes are the same."""
     rows = variants(random.Random(10), 2, 25, 120, 4)
