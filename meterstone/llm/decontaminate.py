@@ -36,7 +36,7 @@ STEPS = max(NEAR[0], FAR[0])
 #: Shorter items can't be told from chance with an edit; they are looked up as they are.
 LEAST_WORDS = 5
 #: One vote is asked for so many words of an item.
-WORDS_A_VOTE = 6
+WORDS_A_VOTE = 4
 #: Items, and words of items, that are sent with the tasks at once; more are searched for in further passes.
 BLOCK_ITEMS, BLOCK_WORDS = 20_000, 1 << 20
 #: Bytes of text embedded at once: bounds the memory of a task.
@@ -128,29 +128,37 @@ class Plain:
 
 
 class Walks:
-    """The walks, and the samples of some reach and number of coordinates, the same wherever the seed is the same."""
+    """The walks, and the samples of some reach and number of coordinates, the same wherever the seed is the same.
+
+    Each walk gives every byte 64 random bits: the step-th says whether to move on there, all of them go into the keys.
+    """
 
     def __init__(self, reach: int, coordinates: int, walks: int = WALKS, samples: int = SAMPLES, seed: int = 7):
-        self.moves = np.random.default_rng(seed).integers(0, 2, (walks, STEPS, 256), np.int64)
+        self.bits = np.random.default_rng(seed).integers(0, 1 << 64, (walks, 256), np.uint64)
         random = np.random.default_rng([seed, reach, coordinates])
         cuts = [reach * i // coordinates for i in range(coordinates + 1)]
         self.at = np.stack([random.integers(a, b, (walks, samples)) for a, b in zip(cuts, cuts[1:])], -1)
-        self.weights = random.integers(0, 1 << 63, (walks, samples, coordinates, 256), np.uint64)
 
     def keys(self, text: np.ndarray, starts: np.ndarray) -> Iterator[np.ndarray]:
         """For each sample the keys of the words that start there."""
-        for walk, moves in enumerate(self.moves):
-            uses: dict[int, list] = {}
-            for s, steps in enumerate(self.at[walk].tolist()):
-                for c, step in enumerate(steps):
-                    uses.setdefault(step, []).append((s, self.weights[walk, s, c]))
-            place, sums = starts.copy(), [np.zeros(len(starts), np.uint64) for _ in range(self.at.shape[1])]
-            for step in range(max(uses) + 1):
-                letter = text[place]
-                for s, weight in uses.get(step, ()):
-                    sums[s] ^= weight[letter]
-                place += moves[step][letter]
-            yield from sums
+        for bits, samples in zip(self.bits, self.at.tolist()):
+            every = bits[text]
+            place, sums = starts.copy(), [np.zeros(len(starts), np.uint64) for _ in samples]
+            letter, move = np.empty(len(starts), np.uint64), np.empty(len(starts), np.uint64)
+            for step in range(max(map(max, samples)) + 1):
+                np.take(every, place, out=letter, mode="clip")
+                for total, steps in zip(sums, samples):
+                    if step in steps:
+                        total *= _u64(_BASE)
+                        total += letter
+                np.right_shift(letter, _u64(step), out=move)
+                np.bitwise_and(move, _u64(1), out=move)
+                place += move.view(np.int64)
+            for total in sums:
+                total ^= total >> _u64(31)
+                total *= _u64(0xBF58476D1CE4E5B9)
+                total >>= _u64(1)
+                yield total
 
 
 def votes_asked(words: np.ndarray) -> np.ndarray:
@@ -254,10 +262,9 @@ class ItemIndex:
         tried: dict[tuple[int, int], tuple] = {}
         for k in np.argsort(-votes, kind="stable").tolist():
             doc, n, start = max(0, int(docs[k])), int(numbers[k]), int(starts[k])
-            got = tried.get((doc, n))
-            if got and (got[0] == 0 or any(abs(start - s) <= 4 for s in got[1])):
-                continue
-            slack = int(self.size[n]) // 4 + SLACK
+            got, slack = tried.get((doc, n)), int(self.size[n]) // 4 + SLACK
+            if got and (got[0] == 0 or any(abs(start - s) <= slack // 2 for s in got[1])):
+                continue  # what would be looked at has been
             begin, end = plain.start[plain.first[doc]], plain.end[plain.first[doc + 1] - 1]
             low, high = max(start - slack, int(begin)), min(start + int(self.size[n]) + slack, int(end))
             d = best_distance(self.items[n][1], plain.cut(low, high))
