@@ -33,7 +33,7 @@ BEGINNINGS, LEVELS = (4, 5, 6, 7), (1, 2, 3, 5)
 CF_WEIGHT, L2 = 5.0, 0.5
 ROUNDS = 400
 #: Words a worker remembers the features of before it starts afresh.
-MOST_WORDS = 150_000
+MOST_WORDS = 100_000
 
 #: Identity terms by kind; a term is only swapped for another of its kind.
 IDENTITY = {
@@ -232,7 +232,7 @@ def train(
 
     def featured(batches) -> Iterator[pa.RecordBatch]:
         ids = lambda ws: sorted(index[f] for f in features(set(ws)) if f in index)
-        for b in batches:
+        for b in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
             out = []
             for text, y in _texts(b):
                 out.append((y, ids(words(text)), None))
