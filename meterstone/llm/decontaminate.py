@@ -39,8 +39,8 @@ LEAST_WORDS = 5
 WORDS_A_VOTE = 4
 #: Items, and words of items, that are sent with the tasks at once; more are searched for in further passes.
 BLOCK_ITEMS, BLOCK_WORDS = 20_000, 1 << 20
-#: Bytes of text embedded at once: bounds the memory of a task.
-AT_ONCE = 1 << 20
+#: Bytes of text embedded at once: bounds the memory of a task, and keeps it near the processor.
+AT_ONCE = 1 << 18
 
 #: Bytes beside a quarter of an item that its place may be out by.
 SLACK = 16
@@ -57,6 +57,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 _LETTER = np.zeros(256, np.uint64)
 for _b in [*range(48, 58), *range(97, 123), *range(128, 256)]:
     _LETTER[_b] = _b
+_IS_LETTER = _LETTER != 0
 _BASE = 0x9E3779B97F4A7C15
 _powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
 
@@ -81,12 +82,11 @@ def _alone(raw: np.ndarray) -> np.ndarray:
     return np.flatnonzero(lead)
 
 
-def words_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(begin, end, hash) of the words in lower-cased UTF-8: runs of letters and digits, all bytes beyond ASCII included;
-    in scripts without spaces every character is a word."""
+def bounds_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(begin, end) of the words in lower-cased UTF-8: runs of letters and digits, all bytes beyond ASCII included; in
+    scripts without spaces every character is a word."""
     raw = np.frombuffer(data, np.uint8)
-    x = _LETTER[raw]
-    inside = np.concatenate([[False], x != 0, [False]])
+    inside = np.concatenate([[False], _IS_LETTER[raw], [False]])
     begin = np.flatnonzero(~inside[:-1] & inside[1:])
     end = np.flatnonzero(inside[:-1] & ~inside[1:])
     single = _alone(raw) if len(raw) and raw.max() >= 0xE0 else ()
@@ -98,6 +98,13 @@ def words_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         begin, end = np.sort(np.concatenate([begin, cuts])), np.sort(np.concatenate([end, cuts]))
         keep = end > begin
         begin, end = begin[keep], end[keep]
+    return begin, end
+
+
+def words_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(begin, end, hash) of the words, as by bounds_of()."""
+    begin, end = bounds_of(data)
+    x = _LETTER[np.frombuffer(data, np.uint8)]
     up, down = _power_tables(len(x) + 1)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * up[: len(x)])])
     return begin, end, _mixed((total[end] - total[begin]) * down[begin])
@@ -106,9 +113,9 @@ def words_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Plain:
     """Several texts as words a space apart; nothing stands between characters that are words. Bytes of zero follow."""
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], hashed: bool = False):
         data = b"\0".join(texts)
-        begin, end, self.hashes = words_of(data)
+        begin, end, self.hashes = words_of(data) if hashed else (*bounds_of(data), None)
         size = end - begin
         gap = np.ones(len(begin), np.int64)
         gap[1:] = begin[1:] > end[:-1]
@@ -222,7 +229,7 @@ class ItemIndex:
         number, start, word = [], [], []
         for walks, filed in self.parts:
             for keys, (seen, drop, known, numbers, offsets) in zip(walks.keys(plain.text, plain.start), filed):
-                at = np.flatnonzero(seen[keys >> drop])
+                at = np.flatnonzero(np.take(seen, (keys >> drop).view(np.int64), mode="clip"))
                 low, high = np.searchsorted(known, keys[at], "left"), np.searchsorted(known, keys[at], "right")
                 count = high - low
                 which = np.repeat(low - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
@@ -252,24 +259,28 @@ class ItemIndex:
 
     def search(self, ids: list, texts: list[bytes], similarity: float) -> Iterator[tuple]:
         """RESULT's rows of some lower-cased texts."""
-        plain = Plain(texts)
-        if not len(plain.hashes):
+        plain = Plain(texts, bool(self.exact))
+        if not len(plain.start):
             return
         numbers, starts, votes = self.candidates(plain)
         # the document is the one that holds the middle of where the item would lie
         middle = np.clip(starts + self.size[numbers] // 2, 0, len(plain.text)) if len(numbers) else starts
         docs = np.searchsorted(plain.first, np.searchsorted(plain.start, middle, "right") - 1, "right") - 1
-        tried: dict[tuple[int, int], tuple] = {}
+        tried: dict[tuple[int, int], int] = {}  # the least distance
+        places: set[tuple[int, int, int]] = set()
         for k in np.argsort(-votes, kind="stable").tolist():
             doc, n, start = max(0, int(docs[k])), int(numbers[k]), int(starts[k])
-            got, slack = tried.get((doc, n)), int(self.size[n]) // 4 + SLACK
-            if got and (got[0] == 0 or any(abs(start - s) <= slack // 2 for s in got[1])):
+            slack = int(self.size[n]) // 4 + SLACK
+            place = doc, n, start // (slack // 2)
+            if place in places or tried.get((doc, n)) == 0:
                 continue  # what would be looked at has been
+            places.add(place)
             begin, end = plain.start[plain.first[doc]], plain.end[plain.first[doc + 1] - 1]
             low, high = max(start - slack, int(begin)), min(start + int(self.size[n]) + slack, int(end))
-            d = best_distance(self.items[n][1], plain.cut(low, high))
-            tried[doc, n] = (min(d, got[0]) if got else d, [*(got[1] if got else ()), start])
-        for (doc, n), (d, _) in tried.items():
+            item, stretch = self.items[n][1], plain.cut(low, high)
+            d = best_distance(item, stretch) if may_hold(item, stretch, similarity) else len(item)
+            tried[doc, n] = min(d, tried.get((doc, n), d))
+        for (doc, n), d in tried.items():
             near = 1 - d / len(self.items[n][1])
             if near >= similarity:
                 yield ids[doc], self.items[n][0], d, near
@@ -284,6 +295,15 @@ class ItemIndex:
                 yield ids[doc], items[j], 0, 1.0
 
 
+def may_hold(item: str, stretch: str, similarity: float) -> bool:
+    """False if so few of the item's runs of three characters stand in the stretch that more edits than the similarity
+    allows must lie between: an edit changes three of them at most."""
+    edits = int((1 - similarity) * len(item) + 1e-9)
+    there = set(map("".join, zip(stretch, stretch[1:], stretch[2:])))
+    shared = sum(map(there.__contains__, map("".join, zip(item, item[1:], item[2:]))))
+    return shared >= len(item) - 2 - 3 * edits
+
+
 def best_distance(pattern: str | bytes, text: str | bytes) -> int:
     """The least edit distance of pattern to any stretch of text."""
     if pattern in text:
