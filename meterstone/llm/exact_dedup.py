@@ -210,8 +210,8 @@ def without_copies(docs: DataFrame, text: str = "text", id_col: str = "doc_id")
     """One row of docs for each different text, with all its columns, whatever their names: the winner by exact_groups()'s
     rule. Of several rows of the winner's id (or without any id) one stays, whichever.
 
-    Nulls count as empty texts; an empty table gives no rows. The losers' ids and digests are taken out of docs; while they
-    are few, the texts are not shuffled.
+    Nulls count as empty texts; an empty table gives no rows. The losers' ids and digests are taken out of docs by one shuffle
+    of the texts, at every size.
     """
     rows, groups = _groups(docs, text, id_col)
     lost = rows.join(groups, "digest").where(~F.col("doc_id").eqNullSafe(F.col("keep_id")))

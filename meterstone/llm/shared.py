@@ -14,8 +14,6 @@ from pyspark.sql.types import StructField, StructType
 HEAVY = 1000
 #: Such nodes at most: their minima are broadcast, some 24 bytes each.
 MOST_HEAVY = 50_000
-#: Keys of lost rows that are broadcast, at most: some 100 bytes each.
-MOST_LOST = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -82,18 +80,16 @@ def mapped(df: DataFrame, run: Callable, *more: StructField) -> DataFrame:
 def without(df: DataFrame, lost: DataFrame, keys: dict[str, Column]) -> DataFrame:
     """The rows of df, with its columns as they are, whose keys lost does not hold; nulls are equal to each other.
 
-    keys: a column of lost -> what df has for it. lost should have been written, as it is counted: up to MOST_LOST rows are
-    broadcast, and df's rows stay where they are; of more, both sides are shuffled by the keys.
+    keys: a column of lost -> what df has for it. What is lost grows with df, so it is never broadcast: at every size both
+    sides are shuffled by the keys, which together differ from row to row, so no group of copies lands in one task.
     """
     own, theirs = fresh(df, *(f"own_{k}" for k in keys)), fresh(df, *(f"lost_{k}" for k in keys))
     wide = df.select("*", *(c.alias(n) for n, c in zip(own, keys.values())))
     renamed = lost.select(*(F.col(k).alias(n) for k, n in zip(keys, theirs)))
-    if renamed.count() <= MOST_LOST:
-        renamed = F.broadcast(renamed)
     same = F.lit(True)
     for a, b in zip(own, theirs):
         same = same & F.col(a).eqNullSafe(F.col(b))
-    return wide.join(renamed, same, "left_anti").select(*(column(c) for c in df.columns))
+    return wide.join(renamed.hint("merge"), same, "left_anti").select(*(column(c) for c in df.columns))
 
 
 def _with_minimum(rows: DataFrame, node: str, least: DataFrame, edges: int) -> DataFrame:

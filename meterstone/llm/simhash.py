@@ -175,7 +175,7 @@ def without_near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "
 
     Rows without an id can't be dropped by it and stay; of repeated rows of one id all stay or none. Null and empty texts
     have fingerprint zero, so one id of all those stays. An empty table gives no rows. The dropped ids are taken out of
-    docs; while they are few, the texts are not shuffled.
+    docs by one shuffle of the texts, at every size.
     """
     known = near_duplicates(docs.where(column(id_col).isNotNull()), text, id_col, bits)
     dropped = written(known.where("doc_id != component_id").select("doc_id").distinct(), "near-copies")
