@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from .shared import column, mapped
+from .shared import column, kept, mapped
 
 SIMILARITY = 0.8
 #: What the votes asked for are tuned to.
@@ -355,15 +355,9 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple]]:
         yield block
 
 
-_ready: dict[bytes, ItemIndex] = {}
-
-
 def _index_of(block: list[tuple], key: bytes) -> ItemIndex:
     """Made once by each worker, which keeps the last one."""
-    if key not in _ready:
-        _ready.clear()
-        _ready[key] = ItemIndex(block)
-    return _ready[key]
+    return kept(("items", key), lambda: ItemIndex(block))
 
 
 def _passes(benchmark: DataFrame, text: str) -> Iterator[tuple[list[tuple], bytes]]:

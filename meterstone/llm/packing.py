@@ -21,7 +21,7 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .shared import column
+from .shared import column, kept
 
 WINDOW = 4096
 END_ID = 2
@@ -265,7 +265,6 @@ class Packer:
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, drained boolean"
 )
-_ready: dict[str, WholeTokenizer] = {}
 
 
 def pack(
@@ -285,7 +284,7 @@ def pack(
         import public_tokenizers
 
         path = tokenizer_path or public_tokenizers.path("word_bpe_49k.json")
-        tokenizer = _ready.get(path) or _ready.setdefault(path, tokenizer_of(path))
+        tokenizer = kept(("tokenizer", path), lambda: tokenizer_of(path))
         packer, first = Packer(window), TaskContext.get().partitionId() << 40
 
         def batch(pieces) -> Iterator[pa.RecordBatch]:

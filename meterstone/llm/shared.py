@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Hashable
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -52,6 +56,26 @@ def forget(df: DataFrame) -> None:
         place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
 
 
+_kept: dict[Hashable, Any] = {}
+
+
+def kept(key: Hashable, make: Callable[[], Any] = dict) -> Any:
+    """What make() gives, made once by a worker and kept until it is asked for another key.
+
+    Python workers live on from stage to stage. What the stage before had is let go first and its memory is given back to
+    the system, so the indexes and memories of stages that follow each other don't add up.
+    """
+    if key not in _kept:
+        _kept.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
+        if trim:
+            trim(0)
+        _kept[key] = make()
+    return _kept[key]
+
+
 def column(name: str) -> Column:
     """A column by its whole name, whatever characters it has."""
     return F.col("`" + name.replace("`", "``") + "`")

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import column, components, without, written
+from .shared import column, components, kept, without, written
 
 WORDS = 4
 SEED = 42
@@ -53,6 +53,7 @@ def fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
     """(doc_id, fp) of every row; fp is the fingerprint as a signed long, 0 for texts without words and nulls."""
 
     def run(batches):
+        kept("simhash")  # nothing of the stage before
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             hashes, counts, held, out = [], [], 0, []

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField
 
-from .shared import column, forget, fresh, mapped, written
+from .shared import column, forget, fresh, kept, mapped, written
 
 #: What a model is fitted on, at most: labelled rows, and sentences of theirs before and after a swap; both chosen by a hash.
 SAMPLE_ROWS, SAMPLE_PAIRS = 20_000, 60_000
@@ -231,6 +231,7 @@ def train(
     index = {f: n for n, f in enumerate(choose_features(sample))}
 
     def featured(batches) -> Iterator[pa.RecordBatch]:
+        kept("toxicity")  # nothing of the stage before
         ids = lambda ws: sorted(index[f] for f in features(set(ws)) if f in index)
         for b in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
             out = []
@@ -262,6 +263,7 @@ def scored(df: DataFrame, model: Model, text: str = "text", out: str = "score")
     place, (name,) = df.columns.index(text), fresh(df, out)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
+        kept("toxicity")  # nothing of the stage before
         score = model.scorer()
         for b in batches:
             got = pa.array([score(t.as_py()) for t in b.column(place)], pa.float64())
@@ -278,6 +280,7 @@ def without_toxic(docs: DataFrame, model: Model, text: str = "text", threshold:
     place = docs.columns.index(text)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
+        kept("toxicity")  # nothing of the stage before
         score = model.scorer()
         for b in batches:
             yield b.filter(pa.array([score(t.as_py()) < threshold for t in b.column(place)], pa.bool_()))
