@@ -1,5 +1,6 @@
 """The numbers of the reference's own tests, and edge cases, over small tables."""
 
+import hashlib
 import math
 
 import pytest
@@ -111,6 +112,34 @@ def test_uniform_is_exact_when_small_and_close_when_large(spark):
             assert sum(h["values"]) / 100 > 170
 
 
+def rows_through_the_last_shuffle(df):
+    df.collect()
+    nodes = [df._jdf.queryExecution().executedPlan()]
+    while nodes:
+        node = nodes.pop(0)
+        if node.nodeName() == "Exchange":
+            return node.metrics().apply("shuffleRecordsWritten").value()
+        within = {"AdaptiveSparkPlan": "executedPlan", "ResultQueryStage": "plan", "ShuffleQueryStage": "plan"}.get(node.nodeName())
+        children = node.children()
+        nodes += [getattr(node, within)()] if within else [children.apply(i) for i in range(children.size())]
+
+
+@pytest.mark.parametrize("size, passed", ((1000, 8 * 1000), (1024, 4 * 1024)))
+def test_few_rows_of_a_key_reach_the_last_window(spark, monkeypatch, size, passed):
+    monkeypatch.setattr(histogram, "BALANCED", 4 * 4 * 1024, raising=False)
+    tags = F.create_map(F.lit("t"), (F.col("id") % 2).cast("string")).alias("k")
+    rows = spark.range(0, 40_000, 1, 8).select(tags, F.col("id").alias("seq"), F.col("id").alias("value"))
+    chosen = histogram.Uniform(size, seed=3).choose(rows, ["k"])
+    drawn = sorted(range(40_000), key=lambda i: hashlib.md5(f"3:{i}".encode()).hexdigest())
+    want = [sorted([i for i in drawn if i % 2 == k][:size]) for k in (0, 1)]
+    assert [sorted(r["seq"] for r in chosen.collect() if r["k"]["t"] == k) for k in "01"] == want
+    assert chosen.columns == rows.columns and rows_through_the_last_shuffle(chosen) == 2 * passed
+    last = histogram.LastN(size, order=("seq", "value")).choose(rows, ["k"])
+    assert {r["seq"] for r in last.collect()} == set(range(40_000 - 2 * size, 40_000))
+    ties = histogram.Uniform(size).choose(rows.withColumn("seq", F.lit(None).cast("long")), ["k"])
+    assert ties.groupBy(F.col("k")["t"]).count().select("count").distinct().first()["count"] == size
+
+
 def test_timer(spark):
     rows = marks(spark, [(1, 1000), (2, 10), (3, 20), (4, 40), (5, 80), (6, 0)])
     t = histogram.timer(rows, [10], 1, 6, histogram.LastN(4), ["k"]).first()
